@@ -21,6 +21,11 @@ def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def once(value: Column) -> Column:
+    """Evaluate a costly expression once: a generator stops projections from being merged."""
+    return F.explode(F.array(value))
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],
@@ -61,17 +66,19 @@ def scan(
     reverse: bool = False,
     inclusive: bool = False,
     block: int = BLOCK_ROWS,
+    block_by: Column | None = None,
 ) -> DataFrame:
     """Prefix aggregates over an integer order; sparse orders are allowed.
 
     ``outs`` maps a new column to ``(op, column)`` with op one of ``max``,
     ``min``, ``sum``, ``last`` (nearest non-null value before the row) or
     ``count``. Exclusive by default; ``reverse`` scans from the end, so ``last``
-    then means the nearest non-null value after the row.
+    then means the nearest non-null value after the row. ``block_by`` replaces the
+    block number by any expression that grows with ``(order, ties)``.
     """
     names = {f"_v{i}": (out, op, _col(c)) for i, (out, (op, c)) in enumerate(outs.items())}
     base = df.withColumns({v: c for v, (_, _, c) in names.items()})
-    base = base.withColumn("_blk", F.floor(F.col(order) / F.lit(block)))
+    base = base.withColumn("_blk", F.floor(F.col(order) / F.lit(block)) if block_by is None else block_by)
     spot = F.struct(F.col(order), *[F.col(t) for t in ties])
 
     def summary(v: str, op: str) -> Column:
