@@ -181,8 +181,8 @@ def recount_reviews(jobs: DataFrame) -> DataFrame:
 
 
 def _positive(value: Column) -> Column:
-    """Numbers that are finite and not negative, else zero."""
-    return F.when(value.isNotNull() & ~F.isnan(value) & (value >= 0) & (value < F.lit(float("inf"))), value).otherwise(0.0)
+    """Missing and negative numbers count as zero; JSON carries no NaN or infinity."""
+    return F.greatest(F.coalesce(value, F.lit(0.0)), F.lit(0.0))
 
 
 def review_contributions(qc: Column, needs: Column, log: Column) -> Column:
