@@ -56,6 +56,15 @@ def neighbours(
     return spread.withColumns(values).where("_blk = _home").drop("_blk", "_home")
 
 
+def with_halo(df: DataFrame, keys: Sequence[str], idx: str, reach: int, block: int = BLOCK_ROWS) -> tuple[DataFrame, Window, Column]:
+    """Rows plus copies within ``reach`` of a block edge: (frame, window, keep-filter)."""
+    home = F.floor(F.col(idx) / F.lit(block))
+    place = F.pmod(F.col(idx), F.lit(block))
+    copies = F.array_compact(F.array(home, F.when(place >= block - reach, home + 1), F.when(place < reach, home - 1)))
+    spread = df.withColumn("_home", home).withColumn("_blk", F.explode(copies))
+    return spread, Window.partitionBy(*keys, "_blk").orderBy(idx), F.col("_blk") == F.col("_home")
+
+
 def scan(
     df: DataFrame,
     keys: Sequence[str],

@@ -34,15 +34,15 @@ def gappy(fx):
     """Segments with planted holes, long sparse stretches and loops."""
     s = fx.segments
     h = (s.media_id + s.seg_idx) % 9
-    return s.where(h != 4).select(
+    return s.select(
         "media_id", "lang", "seg_idx", "start_ms",
-        F.when(h == 7, F.col("end_ms") + 9000).when(h == 2, F.col("end_ms") + 2500).otherwise(F.col("end_ms")).alias("end_ms"),
+        F.when(h == 4, F.col("start_ms") + 500).when(h == 7, F.col("end_ms") + 9000).when(h == 2, F.col("end_ms") + 2500).otherwise(F.col("end_ms")).alias("end_ms"),
         F.when(h == 7, 12).when(h == 2, 9).otherwise(F.length("text")).cast("bigint").alias("text_len"),
         (F.col("compression_x10") / 10).alias("compression_ratio"), "no_speech_pct", "logprob_x10", "text")
 
 
-GAPPY = """g AS (SELECT media_id, lang, seg_idx, start_ms, CASE h WHEN 7 THEN end_ms + 9000 WHEN 2 THEN end_ms + 2500 ELSE end_ms END AS end_ms,
-  CASE h WHEN 7 THEN 12 WHEN 2 THEN 9 ELSE length(text) END AS text_len, compression_x10, text FROM (SELECT *, (media_id + seg_idx) % 9 AS h FROM fx_segments) WHERE h <> 4)"""
+GAPPY = """g AS (SELECT media_id, lang, seg_idx, start_ms, CASE h WHEN 4 THEN start_ms + 500 WHEN 7 THEN end_ms + 9000 WHEN 2 THEN end_ms + 2500 ELSE end_ms END AS end_ms,
+  CASE h WHEN 7 THEN 12 WHEN 2 THEN 9 ELSE length(text) END AS text_len, compression_x10, text FROM (SELECT *, (media_id + seg_idx) % 9 AS h FROM fx_segments))"""
 
 
 @query("b2_coverage_gaps", f"""WITH {GAPPY}, d AS (SELECT DISTINCT doc_id AS media_id, 60000 * (1 + doc_id % 12) AS duration_ms FROM documents),
