@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Sentence, clause and closer marks.
 CLOSERS = r"['\"»)\]」』）】]*"
@@ -49,12 +50,12 @@ def regex_quote(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\.\[\]{}()*+\-?^$|/])", r"\\$1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold_unicode(text: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         if t is None:

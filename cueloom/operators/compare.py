@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cueloom.functions import text as X
 from cueloom.functions.sequence import asof_join, interval_join, neighbours, once, point_join, rank_pick, scan, with_halo
@@ -140,7 +141,7 @@ def worst_windows(aligned: DataFrame, k: int = 8, min_words: int = 10, key: str
 
 # ---------------------------------------------------------------- chrF
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def chrf_stats(hyp: pd.Series, ref: pd.Series) -> pd.Series:
     """(matches, hyp, ref) n-gram totals for n = 1..6 of one pair."""
     from collections import Counter
@@ -238,12 +239,13 @@ def _ref_side(ref: DataFrame, key: str, idx: str) -> DataFrame:
     return ref.select(key, F.col(idx).alias("ref_idx"), F.col("start_ms").alias("ref_start"), F.col("end_ms").alias("ref_end"), F.col("text").alias("ref_text"))
 
 
-_OVERLAP = F.least("end_ms", "ref_end") - F.greatest("start_ms", "ref_start")
+def _overlap() -> Column:
+    return F.least("end_ms", "ref_end") - F.greatest("start_ms", "ref_start")
 
 
 def pair_cues(source: DataFrame, ref: DataFrame, key: str = "media_id", idx: str = "cue_idx") -> DataFrame:
     """References that lie mostly inside a source cue and together cover half of it."""
-    j = interval_join(source, _ref_side(ref, key, idx), [key], ("start_ms", "end_ms"), ("ref_start", "ref_end")).withColumn("_ov", _OVERLAP)
+    j = interval_join(source, _ref_side(ref, key, idx), [key], ("start_ms", "end_ms"), ("ref_start", "ref_end")).withColumn("_ov", _overlap())
     j = j.where(2 * F.col("_ov") >= F.col("ref_end") - F.col("ref_start"))
     g = j.groupBy(key, idx).agg(F.sum("_ov").alias("_cov"), F.first(F.col("end_ms") - F.col("start_ms")).alias("_dur"), F.array_sort(F.collect_list(F.struct("ref_idx", "ref_text"))).alias("_r"))
     raw = F.array_join(F.transform("_r", lambda r: r["ref_text"]), " ")
@@ -256,7 +258,7 @@ def uncovered_cues(source: DataFrame, ref: DataFrame, key: str = "media_id", idx
     """Reference cues whose summed source overlap stays below a tenth of their length."""
     r = _ref_side(ref, key, idx)
     j = interval_join(source.select(key, "start_ms", "end_ms"), r, [key], ("start_ms", "end_ms"), ("ref_start", "ref_end"))
-    cov = j.groupBy(key, "ref_idx").agg(F.sum(_OVERLAP).alias("_cov"))
+    cov = j.groupBy(key, "ref_idx").agg(F.sum(_overlap()).alias("_cov"))
     d = r.join(cov, [key, "ref_idx"], "left")
     return d.where(F.coalesce("_cov", F.lit(0)) < share * (F.col("ref_end") - F.col("ref_start"))).drop("_cov")
 
