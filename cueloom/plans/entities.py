@@ -361,7 +361,7 @@ def name_hits(fx):
 L = K.LETTER
 HITS = rf"""nc AS (SELECT DISTINCT lang AS series, media_id, cue_idx, text, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS f FROM fx_cues),
 nh AS (SELECT nc.series, nc.f AS member, media_id, cue_idx FROM nc JOIN fx_names n ON n.series = nc.series AND n.canonical = nc.f
- WHERE regexp_matches(text, '(^|[^{L}])' || f || '([''’]\pL|[,!?])') OR regexp_matches(text, '(?s)([^.!?…"“”\-–—:\s{L}]|[^.!?…"“”\-–—:\s]\s+)' || f || '($|[^{L}])'))"""
+ WHERE regexp_matches(replace(text, f, chr(1)), '(^|[^{L}])\x01([''’]\pL|[,!?])') OR regexp_matches(replace(text, f, chr(1)), '(?s)([^.!?…"“”\-–—:\s{L}]|[^.!?…"“”\-–—:\s]\s+)\x01($|[^{L}])'))"""
 
 
 @query("e28_name_shaped", f"WITH {HITS} SELECT series, member, media_id, cue_idx FROM nh")
