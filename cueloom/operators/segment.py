@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as X
-from cueloom.functions.sequence import islands, neighbours, once, scan
+from cueloom.functions.sequence import islands, neighbours, once, scan, with_halo
 from cueloom.operators.qc import Constraints
 
 # Lexicons, marks and thresholds.
@@ -86,9 +86,9 @@ def heuristic_turns(words: DataFrame, key: str = "media_id", idx: str = "word_id
     one halo shuffle serves every test.
     """
     d = words.select(key, idx, "text", "start_ms", "end_ms", F.col("text").rlike(TURN_END).alias("_end"))
-    d = neighbours(d, [key], idx, lead={"_next": "start_ms", "_e1": "_end"})
-    d = neighbours(d, [key], idx, lead={"_e2": "_end"}, offset=2)
-    d = neighbours(d, [key], idx, lead={"_e3": "_end"}, offset=3)
+    d, w, own = with_halo(d, [key], idx, 3)
+    ahead = {"_next": F.lead("start_ms", 1).over(w), **{f"_e{k}": F.lead("_end", k).over(w) for k in (1, 2, 3)}}
+    d = d.withColumns(ahead).where(own)
     gap = F.col("_next") - F.col("end_ms")
     short = F.coalesce("_e1", F.lit(False)) | F.coalesce("_e2", F.lit(False)) | F.col("_e3").isNull()
     turn = F.col("_end") & F.col("_next").isNotNull() & ((gap >= PAUSE_MS) | ((gap >= MIN_TURN_MS) & (F.col("text").rlike(QUESTION_END) | short)))

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from cueloom.plans.fixtures import SQL_VIEWS, Fixtures
+from cueloom.session import ship_package
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,11 @@ def query(name: str, sql: str | None = None):
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(entry: Entry):
-        return lambda spark, sf_dir: entry.build(Fixtures(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return entry.build(Fixtures(spark, sf_dir))
+
+        return run
 
     return {name: bind(entry) for name, entry in ENTRIES.items()}
 

@@ -162,7 +162,7 @@ def _(fx):
 @query("d25_strip_affix", """SELECT media_id, cue_idx, CASE WHEN cue_idx % 3 = 0 THEN 'out here' WHEN cue_idx % 3 = 1 THEN 'Out' END AS residual FROM fx_cues""")
 def _(fx):
     k = F.col("cue_idx") % 3
-    padded = F.when(k == 0, F.concat(F.upper("text"), F.lit(" out here"))).when(k == 1, F.concat(F.lit("Out "), "text", F.lit("!"))).otherwise(F.concat(F.lit("other "), "text"))
+    padded = F.when(k == 0, F.concat(F.translate("text", "aeo", "AEO"), F.lit(" out here"))).when(k == 1, F.concat(F.lit("Out "), "text", F.lit("!"))).otherwise(F.concat(F.lit("other "), "text"))
     return fx.cues.select("media_id", "cue_idx", S.strip_affix(padded, F.col("text"), k != 1).alias("residual"))
 
 

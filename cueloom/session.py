@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +42,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return df.checkpoint()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_cueloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="run-cueloom-"), "cueloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in (n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, name)
+                z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._cueloom_shipped = True
