@@ -149,7 +149,8 @@ def render_cues(cues: DataFrame, key: str = "media_id") -> DataFrame:
 
 def write_cues(cues: DataFrame, path: str, key: str = "media_id") -> None:
     """One folder per track, one text file inside."""
-    render_cues(cues, key).select(key, F.col("content").alias("value")).write.mode("overwrite").option("lineSep", "").partitionBy(key).text(path)
+    # the writer adds the last line break itself
+    render_cues(cues, key).select(key, F.regexp_replace("content", "\n$", "").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
 def apply_cue_edits(cues: DataFrame, edits: DataFrame, key: str = "media_id", idx: str = "cue_idx") -> tuple[DataFrame, DataFrame]:
