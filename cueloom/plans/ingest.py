@@ -177,7 +177,8 @@ def _(fx):
     return L.join_longest_prefix(paths, deep.unionByName(top)).select("path", "series")
 
 
-@query("a14_credits", """SELECT o_orderkey % 4 + 1 AS season, o_orderkey % 90 AS episode, c AS character FROM (SELECT o_orderkey, unnest(['Name ' || l_partkey, 'Alias ' || l_suppkey]) AS c, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 1 AND l_linenumber % 3 > 0 AND o_orderkey % 7 > 0)""")
+@query("a14_credits", """SELECT o_orderkey % 4 + 1 AS season, o_orderkey % 90 AS episode, c AS character FROM (SELECT o_orderkey, unnest(['Name ' || l_partkey, 'Alias ' || l_suppkey]) AS c, l_linenumber FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 3 = 1 AND l_linenumber % 3 > 0 AND o_orderkey % 7 > 0)
+UNION ALL SELECT NULL, NULL, unnest(['Name ' || l_partkey, 'Alias ' || l_suppkey]) FROM lineitem WHERE l_orderkey = 1 AND l_linenumber % 3 > 0""")
 def _(fx):
     k = F.col("o_orderkey")
     ep = fx.table("orders").select(k.cast("string").alias("episode_id"), (F.col("o_custkey") % 3).cast("string").alias("parent"), F.when(k % 7 > 0, (k % 4 + 1).cast("string")).alias("season"), (k % 90).cast("string").alias("number"))
