@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueloom.llm import decontaminate, quality
+from cueloom.llm import decontaminate, lengths, quality, sharding, tokenfile
 from cueloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,44 @@ v AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS
 @query("op3_decontaminate", CONTAMINATION_SQL.replace("{docs}", "documents") + "SELECT * FROM v")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("fp")
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Vocabularies come with an installed library; executors have it at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+@query("op2_token_file")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.suffix_sums(lengths.histogram(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+SHARDING_SQL = r"""
+WITH tbl AS (SELECT list(CASE WHEN FALSE THEN 0 ELSE c END ORDER BY b) AS tab FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)::BIGINT[]), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS b))),
+d AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS stratum, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda a, b: xor(a // 256, tab[xor(a & 255, b) + 1])), 4294967295) AS text_crc32
+  FROM documents, tbl),
+r AS (
+  SELECT *, count(*) OVER (PARTITION BY stratum) AS n,
+    row_number() OVER (PARTITION BY stratum ORDER BY ('0x' || substr(md5('interleave-1|' || coalesce(doc_id::VARCHAR, '') || '|' || text_crc32), 1, 13))::BIGINT, doc_id NULLS FIRST, text_crc32) - 1 AS rank
+  FROM d),
+p AS (SELECT *, row_number() OVER (ORDER BY (rank + ('0x' || substr(md5('interleave-1|' || stratum), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE) / n, stratum, rank) - 1 AS pos, count(*) OVER () AS total FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 40 // total)::INTEGER AS shard,
+  pos - ((pos * 40 // total) * total + 39) // 40 AS slot, NULL::INTEGER AS grown_shard
+FROM p
+"""
+
+
+@query("op9_sharding", SHARDING_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(table(spark, sf_dir, "documents"))
