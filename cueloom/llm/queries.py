@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueloom.llm import decontaminate, lengths, quality, sharding, tokenfile
+from cueloom.llm import decontaminate, lengths, neardup, quality, sharding, tokenfile
 from cueloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,25 @@ FROM p
 @query("op9_sharding", SHARDING_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"))
+
+
+#: All pairs of distinct sets that share a shingle, counted; then reachability over the links.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM {docs}),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END)) AS sh FROM w),
+c AS (SELECT sh, min(doc_id) AS rep, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+e AS (SELECT rep, n, unnest(sh) AS g FROM c),
+k AS (SELECT a.rep AS a, b.rep AS b, a.n + b.n AS n, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep AND a.n * 100 >= 80 * b.n AND b.n * 100 >= 80 * a.n GROUP BY ALL),
+l AS (SELECT a, b FROM k WHERE 100 * i >= 80 * (n - i)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, u.b FROM reach r JOIN u ON r.b = u.a),
+m AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a),
+v AS (SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(m.component_id, s.doc_id) AS kept
+  FROM s LEFT JOIN c ON s.sh = c.sh LEFT JOIN m ON c.rep = m.rep)
+"""
+
+
+@query("op4_near_duplicates", NEAR_SQL.replace("{docs}", "documents") + "SELECT * FROM v")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
