@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cueloom.llm import decontaminate, lengths, neardup, quality, sharding, tokenfile
+from cueloom.llm import decontaminate, language, lengths, neardup, quality, sharding, tokenfile
 from cueloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,8 @@ v AS (SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(m.component_id,
 @query("op4_near_duplicates", NEAR_SQL.replace("{docs}", "documents") + "SELECT * FROM v")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
