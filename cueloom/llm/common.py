@@ -50,3 +50,10 @@ def split_words(text: Column, gap: str) -> Column:
 def hex_number(text: Column, digits: int = 8) -> Column:
     """The first hex digits of an md5 as a long: a seeded, engine-independent draw."""
     return F.conv(F.substring(text, 1, digits), 16, 10).cast("long")
+
+
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Bound what a Python worker is sent at once, where the session has Spark's default: texts can be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB"):
+        spark.conf.set(name, size)

@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A task's cache starts anew beyond so many units or ids: the bound of its memory (about 150 MB).
-CACHE_UNITS = 600_000
-CACHE_IDS = 8_000_000
+#: Beyond so many units or ids a task's cache keeps only units met again: the bound of its memory (about 200 MB).
+CACHE_UNITS = 1_000_000
+CACHE_IDS = 12_000_000
 #: Characters handled at once; longer texts are taken in parts, cut before the space of a unit.
-GROUP = 1 << 21
+GROUP = 1 << 22
 
 _UNIT = re.compile(r" (?=\S)")
 _STARTS = re.compile(r"(?=(?: |(?<=\S)\n)\S)")
@@ -79,6 +79,18 @@ class UnitEncoder:
         self.tails: dict[str, np.ndarray] = {}
         self.ids = np.empty(1 << 20, self.dtype)
         self.ends = np.zeros(1 << 18, np.int64)  # unit i has ids[ends[i]:ends[i + 1]]
+        self.met = np.zeros(1 << 18, np.int32)  # groups that had unit i
+
+    def _shrink(self) -> None:
+        """Keep the units that more than one group had, or nothing if these are too many."""
+        names, ends, met, ids = list(self.known), self.ends, self.met, self.ids
+        keep = np.flatnonzero(met[: len(names)] > 1)
+        self._clear()
+        if len(keep) <= CACHE_UNITS // 2:
+            sizes = ends[keep + 1] - ends[keep]
+            if sizes.sum() <= CACHE_IDS // 2:
+                self._add([names[i] for i in keep.tolist()], ids[_ragged(ends[keep], sizes)], sizes)
+                self.met[: len(keep)] = 1
 
     def _encode(self, texts: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
         lists = [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,6 +100,7 @@ class UnitEncoder:
         n = len(self.known)
         if n + len(units) + 1 > len(self.ends):
             self.ends = np.resize(self.ends, 2 * (n + len(units) + 1))
+            self.met = np.concatenate([self.met, np.zeros(len(self.ends) - len(self.met), np.int32)])
         at = self.ends[n]
         if at + len(flat) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * (at + len(flat)))
@@ -129,12 +142,14 @@ class UnitEncoder:
         slots = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         fresh = np.flatnonzero(slots < 0)
         if len(self.known) + len(fresh) > CACHE_UNITS or self.ends[len(self.known)] > CACHE_IDS:
-            self._clear()
-            fresh = np.arange(len(names))
+            self._shrink()
+            slots = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+            fresh = np.flatnonzero(slots < 0)
         if len(fresh):
             new = [names[i] for i in fresh.tolist()]
             self._learn(new)
             slots[fresh] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        self.met[slots] += 1
         return slots[coded.indices.to_numpy(zero_copy_only=False)]
 
     def _group(self, texts: pa.Array, tail: int | None) -> tuple[np.ndarray, np.ndarray]:

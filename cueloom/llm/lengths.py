@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cueloom.llm.common import stored
 from cueloom.llm.encoding import unit_encoder
 
 #: Lengths of a block of the two-level sums.
-BLOCK = 1_024
+BLOCK = 64
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -35,8 +36,8 @@ def encoded_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def histogram(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(n_tokens, n_docs): documents by encoded length."""
-    return encoded_lengths(docs, tokenizer).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """(n_tokens, n_docs): documents by encoded length, written once so that no text is encoded again."""
+    return stored(encoded_lengths(docs, tokenizer).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:

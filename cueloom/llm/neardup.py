@@ -40,7 +40,7 @@ THRESHOLD = 80
 SKETCH_LIMIT = 90
 PIVOT_ROUNDS = 3
 #: Bytes of text and set elements that a task works on at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 2 << 20
 CHUNK = 1 << 16
 
 _U = np.uint64
@@ -57,12 +57,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array) -> Iterator[list[np.ndarray]]:
     """Sorted distinct shingle hashes of consecutive runs of texts."""
-    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(texts):
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_BYTES, "right")))
-        lists = pc.ascii_split_whitespace(texts[at:end])
+        run = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts[at:end].cast(pa.string()), "")))
+        lists = pc.ascii_split_whitespace(run)
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
         names = coded.dictionary.cast(pa.binary()).to_pylist()
@@ -73,7 +73,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[list[np.ndarray]]:
             if b - a >= SHINGLE:
                 out.append(np.unique(pairs[a : b - 1]))
             else:
-                out.append(_mix(h[a:b] + _U(1)) if len(texts[at + i].as_py()) else h[:0])
+                out.append(_mix(h[a:b] + _U(1)) if len(run[i].as_py()) else h[:0])
         yield out
         at = end
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cueloom.llm import decontaminate, language, lengths, neardup, quality, sharding, tokenfile
+from cueloom.llm import decontaminate, htmltext, language, lengths, licenses, neardup, quality, sharding, spm, tokenfile
+from cueloom.llm.common import small_batches
 from cueloom.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,6 +19,7 @@ def query(name: str, sql: str | None = None):
     def keep(build: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
+            small_batches(spark)
             return build(spark, sf_dir)
 
         QUERIES[name] = run
@@ -158,3 +161,53 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_language_id")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
+
+
+#: The two scores of a statement against a template, from the same statements.
+LICENSES_SQL = r"""
+WITH tpl(license, template, text) AS (VALUES {templates}),
+tt AS (SELECT license, template, term, count(*) AS tf FROM (SELECT license, template, unnest(string_split_regex(lower(text), '[^\p{L}\p{N}]+')) AS term FROM tpl) WHERE term <> '' GROUP BY ALL),
+nt AS (SELECT count(*) AS n FROM tpl),
+idf AS (SELECT term, ln(1 + any_value(n) / count(*)) AS idf FROM tt, nt GROUP BY term),
+tv AS (SELECT term, template, license, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
+f AS (SELECT doc_id, text, source || '/' || lang || '/' || (doc_id // 100) AS dir, coalesce(regexp_matches(split_part(text, chr(10), 1), '{marker}'), FALSE) AS is_license FROM documents),
+u AS (
+  SELECT DISTINCT doc_id, body FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.;!?])\s+', '\1' || chr(10), 'g'), '\n')) AS body FROM f) WHERE regexp_matches(body, '{marker}')
+  UNION SELECT doc_id, text FROM f WHERE is_license),
+b AS (SELECT body, term, count(*) AS tf FROM (SELECT body, unnest(string_split_regex(lower(body), '[^\p{L}\p{N}]+')) AS term FROM (SELECT DISTINCT body FROM u)) WHERE term <> '' GROUP BY ALL),
+bw AS (SELECT body, term, tf * coalesce(idf, ln(1 + n)) AS w FROM b LEFT JOIN idf USING (term), nt),
+cosine AS (
+  SELECT body, license, round(sum(w * weight) / any_value(nrm), 6) AS score
+  FROM bw JOIN tv USING (term) JOIN (SELECT body, sqrt(sum(w * w)) AS nrm FROM bw GROUP BY body) USING (body) GROUP BY body, template, license),
+own AS (SELECT doc_id, license AS own_license, score AS own_score FROM u JOIN cosine USING (body) WHERE score >= 0.5
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+r AS (SELECT f.*, dir || CASE WHEN is_license THEN '/LICENSE-' || doc_id ELSE '/' || doc_id || '.txt' END AS path, own_license, own_score FROM f LEFT JOIN own USING (doc_id)),
+dl AS (SELECT dir, own_license AS license FROM r WHERE is_license AND own_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) = 1)
+SELECT doc_id, path, own_license, own_score, coalesce(own_license, dl.license) AS license, CASE WHEN own_license IS NOT NULL THEN 'own' ELSE dl.dir END AS license_from
+FROM r LEFT JOIN dl ON r.dir = dl.dir
+"""
+
+
+def _license_values() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quote(k)}, {quote(f'{k}#{i}')}, {quote(t)})" for k, v in licenses.STATEMENTS.items() for i, t in enumerate([*v, licenses.SPDX.format(name=k)]))
+
+
+@query("op1_license_scan", LICENSES_SQL.replace("{templates}", _license_values()).replace("{marker}", licenses.MARKER))
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files below source, language and a directory per hundred ids; those that open with a
+    licence statement are the licence files of their directories."""
+    docs = table(spark, sf_dir, "documents")
+    folder = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100").cast("string"))
+    name = F.when(licenses.first_line_marked(), F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text"))
+
+
+@query("op5_main_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spm.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model")).drop("text")
