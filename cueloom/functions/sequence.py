@@ -36,33 +36,41 @@ def neighbours(
     offset: int = 1,
     block: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Values ``offset`` rows away in a dense integer order.
+    """Values of the row ``offset`` rows before and after; the order may have holes and start anywhere.
 
-    Rows at a block edge are copied into the adjoining block, so one shuffle on
-    ``(keys, block)`` is enough and no block is larger than ``block + 2*offset``.
+    Windows stay inside ``(keys, block)``; the edge rows of a block take the last row
+    of the nearest earlier block, or the first row of the nearest later one, from a
+    summary with one row per block. Wider offsets copy the edge rows of renumbered blocks.
     """
-    lag, lead = dict(lag or {}), dict(lead or {})
-    home = F.floor(F.col(idx) / F.lit(block))
-    place = F.pmod(F.col(idx), F.lit(block))
-    copies = [home]
-    if lag:
-        copies.append(F.when(place >= block - offset, home + 1))
-    if lead:
-        copies.append(F.when(place < offset, home - 1))
-    spread = df.withColumn("_home", home).withColumn("_blk", F.explode(F.array_compact(F.array(*copies))))
-    w = Window.partitionBy(*keys, "_blk").orderBy(idx)
-    values = {name: F.lag(_col(c), offset).over(w) for name, c in lag.items()}
-    values |= {name: F.lead(_col(c), offset).over(w) for name, c in lead.items()}
-    return spread.withColumns(values).where("_blk = _home").drop("_blk", "_home")
+    if offset > 1:
+        spread, w, own = with_halo(df, keys, idx, offset, block)
+        far = {name: F.lag(_col(c), offset).over(w) for name, c in (lag or {}).items()}
+        far |= {name: F.lead(_col(c), offset).over(w) for name, c in (lead or {}).items()}
+        return spread.withColumns(far).where(own).drop("_blk", "_home", "_pos")
+    outs = {**(lag or {}), **(lead or {})}
+    cells = F.struct(*[_col(c).alias(name) for name, c in outs.items()])
+    base = df.withColumn("_cells", cells).withColumn("_blk", F.floor(F.col(idx) / F.lit(block)))
+    edges = base.groupBy(*keys, "_blk").agg(F.min_by("_cells", idx).alias("_head"), F.max_by("_cells", idx).alias("_tail"))
+    outer = Window.partitionBy(*keys).orderBy("_blk")
+    edges = edges.select(*keys, "_blk", F.lag("_tail").over(outer).alias("_before"), F.lead("_head").over(outer).alias("_after"))
+    inner = Window.partitionBy(*keys, "_blk").orderBy(idx)
+    near = base.withColumns({"_pc": F.lag("_cells").over(inner), "_nc": F.lead("_cells").over(inner)}).join(edges, [*keys, "_blk"])
+    values = {name: F.coalesce("_pc", "_before")[name] for name in (lag or {})}
+    values |= {name: F.coalesce("_nc", "_after")[name] for name in (lead or {})}
+    return near.select(*[c for c in df.columns if c not in values], *[v.alias(name) for name, v in values.items()])
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], idx: str, reach: int, block: int = BLOCK_ROWS) -> tuple[DataFrame, Window, Column]:
-    """Rows plus copies within ``reach`` of a block edge: (frame, window, keep-filter)."""
-    home = F.floor(F.col(idx) / F.lit(block))
-    place = F.pmod(F.col(idx), F.lit(block))
+    """Rows plus copies within ``reach`` rows of a block edge: (frame, window, keep-filter).
+
+    Rows are numbered through first, so holes in the order do not shorten the reach.
+    """
+    placed = scan(df, keys, idx, {"_pos": ("count", F.lit(1))}, block=block)
+    home = F.floor(F.col("_pos") / F.lit(block))
+    place = F.pmod(F.col("_pos"), F.lit(block))
     copies = F.array_compact(F.array(home, F.when(place >= block - reach, home + 1), F.when(place < reach, home - 1)))
-    spread = df.withColumn("_home", home).withColumn("_blk", F.explode(copies))
-    return spread, Window.partitionBy(*keys, "_blk").orderBy(idx), F.col("_blk") == F.col("_home")
+    spread = placed.withColumn("_home", home).withColumn("_blk", F.explode(copies))
+    return spread, Window.partitionBy(*keys, "_blk").orderBy("_pos"), F.col("_blk") == F.col("_home")
 
 
 def scan(

@@ -86,23 +86,35 @@ def with_lifecycle(jobs: DataFrame, now: Column) -> DataFrame:
 
 
 def recover_orphans(jobs: DataFrame, now: Column) -> DataFrame:
-    """Running rows after a restart: requeue up to three times, then fail."""
+    """Running rows after a restart: requeue up to three times, then fail. Other rows stay as they are.
+
+    Columns that the table lacks are added; a requeued row loses its start, a failed one is finished.
+    """
     running = F.col("status") == "running"
     again = running & (F.col("recovery_count") < MAX_RECOVERIES)
     spent = running & (F.col("recovery_count") >= MAX_RECOVERIES)
     tries = F.col("recovery_count") + 1
+    # The messages of the job record.
     again_why = F.format_string("Process restarted while this job was running; automatically requeued (%d/" + str(MAX_RECOVERIES) + ").", tries)
     spent_why = F.format_string(
         "Job was interrupted by restarts %d times; automatic recovery limit (" + str(MAX_RECOVERIES) + ") reached. Use Retry to create a new attempt.",
         F.col("recovery_count"),
     )
-    return jobs.withColumns({
-        "status": F.when(again, "queued").when(spent, "failed").otherwise(F.col("status")),
-        "error_category": F.when(spent, RECOVERY_EXHAUSTED),
-        "last_recovery_reason": F.when(again, again_why).when(spent, spent_why),
-        "last_recovered_at": F.when(running, now),
-        "finished_at": F.when(spent, now),
-        "recovery_count": F.when(again, tries).otherwise(F.col("recovery_count")),
+    kinds = {"error_category": "string", "last_recovery_reason": "string", "last_recovered_at": "bigint", "started_at": "bigint", "finished_at": "bigint", "updated_at": "bigint", "stage": "string", "error": "string", "progress": "int"}
+    have = jobs.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items() if c not in jobs.columns})
+    same = F.col
+    return have.withColumns({
+        "status": F.when(again, "queued").when(spent, "failed").otherwise(same("status")),
+        "stage": F.when(again, "QUEUED").when(spent, "FAILED").otherwise(same("stage")),
+        "progress": F.when(spent, 100).otherwise(same("progress")).cast(dict(have.dtypes)["progress"]),
+        "error": F.when(spent, spent_why).otherwise(same("error")),
+        "error_category": F.when(spent, RECOVERY_EXHAUSTED).otherwise(same("error_category")),
+        "last_recovery_reason": F.when(again, again_why).when(spent, spent_why).otherwise(same("last_recovery_reason")),
+        "last_recovered_at": F.when(running, now).otherwise(same("last_recovered_at")),
+        "started_at": F.when(again, F.lit(None)).otherwise(same("started_at")),
+        "finished_at": F.when(spent, now).otherwise(same("finished_at")),
+        "updated_at": F.when(running, now).otherwise(same("updated_at")),
+        "recovery_count": F.when(again, tries).otherwise(same("recovery_count")),
     })
 
 
@@ -110,26 +122,22 @@ def retry_lineage(jobs: DataFrame, id_col: str = "id", parent_col: str = "retry_
     """Root job and depth of every attempt, by pointer doubling on unique ids.
 
     Each round doubles the covered distance, so a chain of length ``n`` takes
-    ``log2(n)`` equi joins; only rows that still point somewhere are joined.
+    ``log2(n)`` equi joins. Attempts whose chain runs into a cycle have no root:
+    they come back with a null root and depth.
     """
-    depth = F.when(F.col(parent_col).isNull(), 0).otherwise(1).cast("bigint")
-    links = jobs.select(F.col(id_col).alias("id"), F.coalesce(parent_col, id_col).alias("up"), depth.alias("depth"))
-    known = jobs.select(F.col(id_col).alias("up")).distinct()
-    # an attempt whose parent row is gone is its own root
-    links = links.join(known.withColumn("_known", F.lit(True)), "up", "left").select(
-        "id", F.when(F.col("_known"), F.col("up")).otherwise(F.col("id")).alias("up"), F.when(F.col("_known"), F.col("depth")).otherwise(0).alias("depth")
-    )
-    while True:
-        nxt = links.where("depth > 0").select(F.col("id").alias("up"), F.col("up").alias("_up2"), F.col("depth").alias("_d2"))
-        links = cut_lineage(
-            links.join(nxt, "up", "left").select(
-                "id", F.coalesce("_up2", "up").alias("up"), (F.col("depth") + F.coalesce("_d2", F.lit(0))).alias("depth"), F.col("_up2").isNotNull().alias("_moved")
-            )
-        )
-        moved = not links.where("_moved").isEmpty()
-        links = links.drop("_moved")
-        if not moved:
-            return links.select("id", F.col("up").alias("root_id"), "depth")
+    links = jobs.select(F.col(id_col).alias("id"), F.col(parent_col).alias("_p"))
+    known = jobs.select(F.col(id_col).alias("_p")).distinct().withColumn("_known", F.lit(True))
+    # an attempt whose parent row is gone is its own root; `up` is null at a root
+    links = links.join(known, "_p", "left").select("id", F.when(F.col("_known"), F.col("_p")).alias("up"), F.col("id").alias("top"), F.lit(0).cast("bigint").alias("depth"))
+    links = links.withColumn("top", F.coalesce("up", "id")).withColumn("depth", F.col("up").isNotNull().cast("bigint"))
+    # chains of distinct ids end within this many doublings; what still points somewhere then is a cycle
+    for _ in range(max(1, links.count().bit_length()) + 1):
+        ahead = links.where("depth > 0").select(F.col("id").alias("up"), F.col("up").alias("_u"), F.col("top").alias("_t"), F.col("depth").alias("_d"))
+        links = cut_lineage(links.join(ahead, "up", "left").select("id", F.col("_u").alias("up"), F.coalesce("_t", "top").alias("top"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")))
+        if links.where("up IS NOT NULL").isEmpty():
+            break
+    ended = F.col("up").isNull()
+    return links.select("id", F.when(ended, F.col("top")).alias("root_id"), F.when(ended, F.col("depth")).alias("depth"))
 
 
 def bound_log(log: str | Column) -> Column:

@@ -87,12 +87,12 @@ def heuristic_turns(words: DataFrame, key: str = "media_id", idx: str = "word_id
     """
     d = words.select(key, idx, "text", "start_ms", "end_ms", F.col("text").rlike(TURN_END).alias("_end"))
     d, w, own = with_halo(d, [key], idx, 3)
-    ahead = {"_next": F.lead("start_ms", 1).over(w), **{f"_e{k}": F.lead("_end", k).over(w) for k in (1, 2, 3)}}
+    ahead = {"_next": F.lead("start_ms", 1).over(w), "_to": F.lead(idx, 1).over(w), **{f"_e{k}": F.lead("_end", k).over(w) for k in (1, 2, 3)}}
     d = d.withColumns(ahead).where(own)
     gap = F.col("_next") - F.col("end_ms")
     short = F.coalesce("_e1", F.lit(False)) | F.coalesce("_e2", F.lit(False)) | F.col("_e3").isNull()
     turn = F.col("_end") & F.col("_next").isNotNull() & ((gap >= PAUSE_MS) | ((gap >= MIN_TURN_MS) & (F.col("text").rlike(QUESTION_END) | short)))
-    return d.where(turn).select(key, (F.col(idx) + 1).alias(idx), F.col("_next").alias("start_ms"))
+    return d.where(turn).select(key, F.col("_to").alias(idx), F.col("_next").alias("start_ms"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -213,12 +213,12 @@ def chunk_words(text: Column, size: int = 6) -> Column:
 def orphan_spans(spans: DataFrame, key: str = "media_id", idx: str = "span_idx") -> DataFrame:
     """One-word spans with a real boundary on exactly one side, and their context side."""
     real = F.coalesce(F.col("boundary_before").isin(*REAL), F.lit(False))
-    d = neighbours(spans.withColumn("_gap", real), [key], idx, lead={"_after": "_gap"})
+    d = neighbours(spans.withColumn("_gap", real), [key], idx, lag={"_back": idx}, lead={"_after": "_gap", "_ahead": idx})
     lone = (F.col("cue_count") == 1) & (F.size(X.words("text")) == 1)
     after = F.coalesce("_after", F.lit(False))
-    before = F.col("_gap") & ~after & (F.col(idx) > 0)
+    before = F.col("_gap") & ~after & F.col("_back").isNotNull()
     ahead = after & ~F.col("_gap")
-    return d.where(lone & (before | ahead)).select(key, idx, F.when(before, F.col(idx) - 1).otherwise(F.col(idx) + 1).alias("context_idx"), before.alias("context_before"))
+    return d.where(lone & (before | ahead)).select(key, idx, F.when(before, F.col("_back")).otherwise(F.col("_ahead")).alias("context_idx"), before.alias("context_before"))
 
 
 def strip_affix(padded: Column, anchor: Column, before: Column) -> Column:

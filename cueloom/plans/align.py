@@ -147,6 +147,12 @@ def _(fx):
     return A.find_anchors(moved(fx), fx.words)
 
 
+@query("g32_robust_line")
+def _(fx):
+    d = A.robust_line(C.drop_outliers(A.find_anchors(moved(fx), fx.words)))
+    return d.select("media_id", *[F.round(c, 6).alias(c) for c in ("offset0", "slope", "spread")])
+
+
 @query("g33_fit_pieces")
 def _(fx):
     return A.fit_pieces(C.drop_outliers(A.find_anchors(moved(fx), fx.words)))

@@ -86,18 +86,32 @@ def _(fx):
     return J.with_lifecycle(wide(fx), F.lit(NOW).cast("bigint")).select("id", "lifecycle", "elapsed")
 
 
+# jobs with every column that recovery touches, also on rows that it must leave alone
+H8_JOBS = """(SELECT *, CASE WHEN id % 3 = 0 THEN 'EARLIER' END AS error_category, CASE WHEN id % 4 = 0 THEN 500 + id END AS finished_at,
+  CASE WHEN id % 5 = 0 THEN id END AS last_recovered_at, CASE WHEN id % 5 = 0 THEN 'before' END AS last_recovery_reason,
+  CASE WHEN id % 7 = 0 THEN 'odd' END AS error, id AS started_at, id + 1 AS updated_at, 'STEP' AS stage, CAST(id % 100 AS INTEGER) AS progress
+  FROM (SELECT id, status, recovery_count FROM fx_jobs))"""
+
+
 @query("h8_recover_orphans", f"""
-SELECT id, CASE WHEN status <> 'running' THEN status WHEN recovery_count < 3 THEN 'queued' ELSE 'failed' END AS status,
-  CASE WHEN status = 'running' AND recovery_count < 3 THEN recovery_count + 1 ELSE recovery_count END AS recovery_count,
-  CASE WHEN status = 'running' AND recovery_count >= 3 THEN 'ORPHANED_JOB_RECOVERY_EXHAUSTED' END AS error_category,
-  CASE WHEN status = 'running' AND recovery_count >= 3 THEN {NOW} END AS finished_at,
-  CASE WHEN status = 'running' THEN {NOW} END AS last_recovered_at,
-  CASE WHEN status = 'running' AND recovery_count < 3 THEN 'Process restarted while this job was running; automatically requeued (' || (recovery_count + 1) || '/3).'
-       WHEN status = 'running' THEN 'Job was interrupted by restarts ' || recovery_count || ' times; automatic recovery limit (3) reached. Use Retry to create a new attempt.' END AS last_recovery_reason
-FROM fx_jobs""")
-def _(fx):
-    out = J.recover_orphans(fx.jobs, F.lit(NOW).cast("bigint"))
-    return out.select("id", "status", "recovery_count", "error_category", "finished_at", "last_recovered_at", "last_recovery_reason")
+SELECT id, CASE WHEN NOT r THEN status WHEN again THEN 'queued' ELSE 'failed' END AS status,
+  CASE WHEN NOT r THEN stage WHEN again THEN 'QUEUED' ELSE 'FAILED' END AS stage, CASE WHEN r AND NOT again THEN 100 ELSE progress END AS progress,
+  CASE WHEN r AND again THEN recovery_count + 1 ELSE recovery_count END AS recovery_count,
+  CASE WHEN r AND NOT again THEN 'ORPHANED_JOB_RECOVERY_EXHAUSTED' ELSE error_category END AS error_category,
+  CASE WHEN r AND NOT again THEN {NOW} ELSE finished_at END AS finished_at, CASE WHEN r AND again THEN NULL ELSE started_at END AS started_at,
+  CASE WHEN r THEN {NOW} ELSE updated_at END AS updated_at, CASE WHEN r THEN {NOW} ELSE last_recovered_at END AS last_recovered_at,
+  CASE WHEN r AND NOT again THEN spent ELSE error END AS error,
+  CASE WHEN r AND again THEN 'Process restarted while this job was running; automatically requeued (' || (recovery_count + 1) || '/3).' WHEN r THEN spent ELSE last_recovery_reason END AS last_recovery_reason
+FROM (SELECT *, status = 'running' AS r, recovery_count < 3 AS again,
+  'Job was interrupted by restarts ' || recovery_count || ' times; automatic recovery limit (3) reached. Use Retry to create a new attempt.' AS spent FROM {H8_JOBS})""")
+def _(fx):
+    when = lambda test, value: F.when(F.expr(test), value)
+    jobs = fx.jobs.select("id", "status", "recovery_count").withColumns({
+        "error_category": when("id % 3 = 0", F.lit("EARLIER")), "finished_at": when("id % 4 = 0", 500 + F.col("id")), "last_recovered_at": when("id % 5 = 0", F.col("id")),
+        "last_recovery_reason": when("id % 5 = 0", F.lit("before")), "error": when("id % 7 = 0", F.lit("odd")), "started_at": F.col("id"),
+        "updated_at": F.col("id") + 1, "stage": F.lit("STEP"), "progress": F.expr("CAST(id % 100 AS INT)"),
+    })
+    return J.recover_orphans(jobs, F.lit(NOW).cast("bigint"))
 
 
 @query("h9_retry_lineage", """
