@@ -26,7 +26,7 @@ RULES: dict[str, str] = {
 }
 BASE = ("short", "repeated")
 #: A host is rejected when the shrunk failure rate of any rule exceeds this.
-MAX_HOST_RATE = 0.5
+MAX_HOST_RATE = 0.8
 #: Bounds of the prior's strength in pseudo-documents.
 PRIOR_STRENGTH = (1.0, 1e6)
 
@@ -123,5 +123,8 @@ def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
     """
     slim = measures(docs.select("text", F.col(host).alias("_source"))).drop("text")
     bad = bad_hosts(slim, "_source")
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"), F.col(host).alias("_source"))
-    return judge(measures(own), bad, "_source").where("kept").select("_row.*")
+    own = measures(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"), F.col(host).alias("_source"))).drop("text")
+    # a one-row generator keeps the filter above the measures, which would else be copied into it term by term
+    taken = [c for c in own.columns if not c.startswith("_")]
+    once = own.select("_row", "_source", F.inline(F.array(F.struct(*taken))))
+    return judge(once, bad, "_source").where("kept").select("_row.*")

@@ -59,7 +59,7 @@ moments AS (SELECT rule, sum(f) / sum(n) AS p, count(*) / sum(n) AS per, sum(f *
 prior AS (
   SELECT rule, p, CASE WHEN ff - p * p - p * (1 - p) * per > 0
     THEN least(greatest(p * (1 - p) / (ff - p * p - p * (1 - p) * per) - 1, 1.0), 1e6) ELSE 1e6 END AS s FROM moments),
-bad AS (SELECT DISTINCT source FROM rates JOIN prior USING (rule) WHERE (f + p * s) / (n + s) > 0.5),
+bad AS (SELECT DISTINCT source FROM rates JOIN prior USING (rule) WHERE (f + p * s) / (n + s) > 0.8),
 j AS (SELECT m.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, bad.source IS NULL AS host_kept FROM m LEFT JOIN bad ON m.source = bad.source)
 """
 
