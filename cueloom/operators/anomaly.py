@@ -21,6 +21,8 @@ SIGNATURES = (
     ("audio-description-disclaimer", "tr", "sesli betimleme|betimleme derneğine", "broadcast_boilerplate", 0.5),
     ("tr-thanks-for-watching", "tr", r"zlediğiniz\s+için\s+teşekkür", "outro_boilerplate", 0.9),
 )
+#: Signatures that may be broadcast.
+MAX_RULES = 10_000
 PERCENTILES = {"p50": (50, 100), "p90": (90, 100), "p95": (95, 100), "p99": (99, 100), "p99_9": (999, 1000), "p100": (100, 100)}
 
 
@@ -31,11 +33,12 @@ def default_signatures(spark) -> DataFrame:
 def match_signatures(segments: DataFrame, signatures: DataFrame, lang: str = "lang") -> DataFrame:
     """Adds the ids and the best weight of matching signatures.
 
-    Signatures are folded into one row per language, so the join adds no rows
-    and needs no regrouping; the join side is chosen by its measured size.
+    Signatures are folded into one row per language, so the join adds no rows and
+    needs no regrouping. Up to MAX_RULES of them (counted) are sent to all tasks, so
+    segments are not shuffled on the few languages; beyond, the join shuffles.
     """
     rules = signatures.groupBy(F.col("language").alias(lang)).agg(F.array_sort(F.collect_list(F.struct("id", F.concat(F.lit("(?iuU)"), "pattern").alias("pattern"), "weight"))).alias("_rules"))
-    d = segments.join(rules, lang, "left")
+    d = segments.join(F.broadcast(rules) if signatures.count() <= MAX_RULES else rules, lang, "left")
     hits = F.filter(F.coalesce("_rules", F.array().cast("array<struct<id:string,pattern:string,weight:double>>")), lambda r: F.rlike(F.col("text"), r["pattern"]))
     d = d.select(*segments.columns, once(hits).alias("_hits"))
     return d.select(

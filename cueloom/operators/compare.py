@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,30 +182,40 @@ def chrf_score_columns() -> Column:
     return F.coalesce(F.try_divide(100 * (1 + b2) * p * r, b2 * p + r), F.lit(0.0))
 
 
-def poisson_weight(seed: int, round_no: Column, *parts: Column) -> Column:
-    """Poisson(1) resampling weight from a hash, for one-pass bootstraps."""
-    u = F.pmod(F.xxhash64(F.lit(seed), round_no, *parts), F.lit(1 << 40)) / float(1 << 40)
-    cut, total, term, out = [], 0.0, 0.36787944117144233, F.lit(8)
-    for k in range(8):
-        total += term
-        cut.append((k, total))
-        term /= k + 1
-    for k, limit in reversed(cut):
-        out = F.when(u < limit, k).otherwise(out)
-    return out
+#: Cumulative Poisson(1) chances, as far as doubles can tell them from one.
+POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 18.0)])))
+
+
+def poisson_weights(rows: np.ndarray, rounds: int) -> np.ndarray:
+    """Poisson(1) weights of every row (by its hash) in every round; rows by rounds."""
+    numbers = (np.arange(rounds, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = rows.view(np.uint64)[:, None] ^ numbers[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+    uniform = ((mixed ^ (mixed >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    return np.searchsorted(POISSON, uniform, side="right")
 
 
 def bootstrap(stats: DataFrame, ids: Sequence[str], columns: Sequence[str], rounds: int, seed: int) -> DataFrame:
     """Weighted sums of ``columns`` per round.
 
     Each row draws its own Poisson weight per round (the standard resampling for
-    data that does not fit one machine), so rows are never redistributed: only
-    ``rounds`` partial sums per task are shuffled.
+    data that does not fit one machine), so rows are never redistributed: a task
+    multiplies its batches by their weights and sends on ``rounds`` partial sums.
     """
-    r = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    d = stats.select(*ids, *columns, r.alias("round"))
-    d = d.withColumn("_w", poisson_weight(seed, F.col("round"), *[F.col(i) for i in ids])).where("_w > 0")
-    return d.groupBy("round").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in columns])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((rounds, len(columns)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                values = np.column_stack([part.column(c).to_numpy(zero_copy_only=False) for c in columns])
+                total += poisson_weights(part.column("_h").to_numpy(), rounds).T @ np.nan_to_num(values)
+        yield pa.record_batch([pa.array(np.arange(rounds)), *map(pa.array, total.T)], ["round", *columns])
+
+    d = stats.select(F.xxhash64(F.lit(seed), *ids).alias("_h"), *[F.col(c).cast("double").alias(c) for c in columns])
+    part = d.mapInArrow(sums, "round bigint, " + ", ".join(f"`{c}` double" for c in columns))
+    return part.groupBy("round").agg(*[F.sum(c).alias(c) for c in columns])
 
 
 def interval_95(deltas: DataFrame, value: str, rounds: int) -> DataFrame:
@@ -265,8 +277,8 @@ def uncovered_cues(source: DataFrame, ref: DataFrame, key: str = "media_id", idx
 
 def classify_gaps(gaps: DataFrame, source: DataFrame, key: str = "media_id", near_ms: int = NEAR_MS, between_ms: int = BETWEEN_MS) -> DataFrame:
     """Kind of each uncovered reference cue from its text and its nearest source cues."""
-    ends = source.select(key, F.col("end_ms").alias("at"), F.substring("text", 1, 120).alias("text"))
-    starts = source.select(key, F.col("start_ms").alias("at"), F.substring("text", 1, 120).alias("text"))
+    ends = source.select(key, F.col("end_ms").alias("at"), "text")
+    starts = source.select(key, F.col("start_ms").alias("at"), "text")
     d = asof_join(gaps, ends, [key], "ref_start", "at", ["at", "text"], "before")
     d = asof_join(d, starts, [key], "ref_end", "at", ["at", "text"], "after", direction="forward")
     d = d.withColumns({"before_ms": F.col("ref_start") - F.col("before.at"), "after_ms": F.col("after.at") - F.col("ref_end")})

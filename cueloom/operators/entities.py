@@ -75,11 +75,15 @@ def apply_phrases(lines: DataFrame, phrases: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- placeholders
 
 def assign_placeholders(forms: DataFrame, key: str = "series") -> DataFrame:
-    """``X`` plus two letters per case-folded form, in order of first sight."""
+    """``X`` plus two letters per case-folded form, in order of first sight.
+
+    The code space has 676 placeholders per key; a key with more forms is refused, never cut.
+    """
     d = forms.withColumn("_f", X.casefold("form"))
     first = d.groupBy(key, "_f").agg(F.min_by(F.struct(*forms.columns), "form_order").alias("_r")).select("_r.*")
     d = scan(first, [key], "form_order", {"_k": ("count", F.lit(1))})
-    return d.withColumn("placeholder", F.concat(F.lit("X"), F.char(97 + F.floor(F.col("_k") / 26)), F.char(97 + F.col("_k") % 26))).drop("_k")
+    over = F.raise_error(F.concat(F.lit("more than 676 forms for "), F.col(key).cast("string")))
+    return d.withColumn("placeholder", F.when(F.col("_k") >= 676, over).otherwise(F.concat(F.lit("X"), F.char(97 + F.floor(F.col("_k") / 26)), F.char(97 + F.col("_k") % 26)))).drop("_k")
 
 
 def turkish_suffixes(form: Column) -> Column:

@@ -101,13 +101,13 @@ def _(fx):
 def _(fx):
     n, h = F.size("ref"), F.size("hyp")
     w = windows(fx).select("media_id", "minute", F.abs(n - h).alias("err_a"), n.alias("n_a"), F.greatest(n - h, F.lit(0)).alias("err_b"), n.alias("n_b"))
-    return C.bootstrap_delta(w, ["media_id", "minute"], rounds=200)
+    return C.bootstrap_delta(w, ["media_id", "minute"])
 
 
 @query("g13_bootstrap_chrf")
 def _(fx):
     t = fx.translations.select("media_id", "idx", F.col("source").alias("ref"), F.col("translated").alias("hyp_a"), F.concat("source", F.lit(" x")).alias("hyp_b"))
-    return C.bootstrap_chrf(t, ["media_id", "idx"], rounds=100)
+    return C.bootstrap_chrf(t, ["media_id", "idx"])
 
 
 def points(fx):

@@ -124,8 +124,8 @@ unc AS (SELECT r.* FROM ref r WHERE coalesce((SELECT sum(least(s.end_ms, r.end_m
 GAPS = HOLES + r""",
 cl AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(text, '\([^)]*\)|\[[^\]]*\]|♪|♫', ' ', 'g'), '(^|\s)-\s*', ' ', 'g'), '\s+', ' ', 'g')) AS c FROM unc),
 kw AS (SELECT *, regexp_extract_all(lower(c), '[a-z]+') AS w FROM cl),
-be AS (SELECT u.media_id, u.cue_idx, max(s.end_ms) AS e FROM unc u JOIN src s ON s.media_id = u.media_id AND s.end_ms <= u.start_ms GROUP BY 1, 2),
-af AS (SELECT u.media_id, u.cue_idx, min(s.start_ms) AS s FROM unc u JOIN src s ON s.media_id = u.media_id AND s.start_ms >= u.end_ms GROUP BY 1, 2),
+be AS (SELECT u.media_id, u.cue_idx, s.end_ms AS e FROM unc u ASOF JOIN src s ON s.media_id = u.media_id AND u.start_ms >= s.end_ms),
+af AS (SELECT u.media_id, u.cue_idx, s.start_ms AS s FROM unc u ASOF JOIN src s ON s.media_id = u.media_id AND u.end_ms <= s.start_ms),
 gk AS (SELECT u.media_id, u.cue_idx AS ref_idx, u.start_ms - e AS before_ms, s - u.end_ms AS after_ms, u.end_ms - u.start_ms AS dur,
   CASE WHEN c = '' OR regexp_matches(ltrim(text, '-( '), '^["“♪]') THEN 'reference_non_dialogue'
     WHEN len(w) > 0 AND len(list_filter(w, lambda x: x NOT IN ('ah','aah','eh','ha','hah','heh','hmm','hm','mm','oh','uh','um'))) = 0 THEN 'reference_vocalization'
