@@ -140,15 +140,15 @@ def retry_lineage(jobs: DataFrame, id_col: str = "id", parent_col: str = "retry_
     return links.select("id", F.when(ended, F.col("top")).alias("root_id"), F.when(ended, F.col("depth")).alias("depth"))
 
 
-def bound_log(log: str | Column) -> Column:
-    """Last 200 entries; a long message keeps its head and a marker."""
+def bound_log(log: str | Column, entries: int = MAX_LOG_ENTRIES, chars: int = MAX_LOG_CHARS) -> Column:
+    """Last ``entries`` entries; a message over ``chars`` characters keeps its head and a marker."""
     log = F.col(log) if isinstance(log, str) else log
-    keep = MAX_LOG_CHARS - len(LOG_SUFFIX)
-    kept = F.when(F.size(log) > MAX_LOG_ENTRIES, F.slice(log, -MAX_LOG_ENTRIES, MAX_LOG_ENTRIES)).otherwise(log)
+    keep = chars - len(LOG_SUFFIX)
+    kept = F.when(F.size(log) > entries, F.slice(log, -entries, entries)).otherwise(log)
 
     def short(e: Column) -> Column:
         text = e["message"]
-        return e.withField("message", F.when(F.length(text) > MAX_LOG_CHARS, F.concat(F.substring(text, 1, keep), F.lit(LOG_SUFFIX))).otherwise(text))
+        return e.withField("message", F.when(F.length(text) > chars, F.concat(F.substring(text, 1, keep), F.lit(LOG_SUFFIX))).otherwise(text))
 
     return F.transform(kept, short)
 

@@ -92,8 +92,10 @@ def splice_redecodes(segments: DataFrame, alternatives: DataFrame, key: str = "m
 
     ``alternatives`` rows carry ``span_seg_idx`` (NULL for a gap fill). Gap fills
     are always taken; a loop needs every re-decode non-empty and below the
-    decoder threshold; a sparse segment needs more text in total.
+    decoder threshold; a sparse segment needs more text in total. Columns that both
+    sides have (text, words, confidences) come along.
     """
+    carried = [c for c in segments.columns if c in alternatives.columns and c not in (key, "seg_idx", "start_ms", "end_ms", "text_len")]
     ms = F.col("end_ms") - F.col("start_ms")
     loop = is_loop(ms, F.col("compression_ratio"))
     kind = F.when(loop, "loop").when(is_sparse(ms, F.col("text_len")), "sparse")
@@ -104,11 +106,11 @@ def splice_redecodes(segments: DataFrame, alternatives: DataFrame, key: str = "m
     judged = base.join(votes, [key, "seg_idx"], "left")
     take = F.when(F.col("_kind") == "loop", F.coalesce("_clean", F.lit(False))).when(F.col("_kind") == "sparse", F.coalesce("_alt_len", F.lit(0)) > F.col("text_len")).otherwise(False)
     judged = judged.withColumn("_take", take)
-    kept = judged.where(~F.col("_take")).select(key, "start_ms", "end_ms", "text_len", F.lit("original").alias("origin"))
+    kept = judged.where(~F.col("_take")).select(key, "start_ms", "end_ms", "text_len", *carried, F.lit("original").alias("origin"))
     taken = judged.where("_take").select(key, F.col("seg_idx").alias("span_seg_idx"))
     swapped = alternatives.where(F.col("span_seg_idx").isNotNull()).join(taken, [key, "span_seg_idx"], "left_semi")
     filled = alternatives.where(F.col("span_seg_idx").isNull())
-    new = swapped.unionByName(filled).select(key, "start_ms", "end_ms", "text_len", F.lit("redecode").alias("origin"))
+    new = swapped.unionByName(filled).select(key, "start_ms", "end_ms", "text_len", *carried, F.lit("redecode").alias("origin"))
     return kept.unionByName(new)
 
 

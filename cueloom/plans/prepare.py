@@ -83,7 +83,7 @@ def _(fx):
     alt = a.select(
         "media_id", F.when(F.col("seg_idx") % 10 != 0, F.col("seg_idx")).alias("span_seg_idx"), start.alias("start_ms"), (start + 900).alias("end_ms"),
         ((F.col("seg_idx") * 7 + F.col("v") * 5) % 23).alias("text_len"), ((10 + (F.col("seg_idx") * 3 + F.col("v")) % 16) / 10).alias("compression_ratio"))
-    return P.splice_redecodes(g, alt)
+    return P.splice_redecodes(g, alt).select("media_id", "start_ms", "end_ms", "text_len", "origin")
 
 
 @query("b6_majority_language", """

@@ -81,9 +81,12 @@ def read_cues(spark: SparkSession, paths: str | list[str], dialect: str = "lenie
     return parse_cues(read_files(spark, paths), dialect)
 
 
-def parse_cues_strict(files: DataFrame, key: str = "path") -> tuple[DataFrame, DataFrame]:
-    """(cues, rejects): any fault rejects the whole file; empty cues are skipped."""
-    body = files.select(key, (F.octet_length("content") > MAX_BYTES).alias("_big"), once(clean_content(F.col("content"))).alias("_t"))
+def parse_cues_strict(files: DataFrame, key: str = "path", max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(cues, rejects): any fault rejects the whole file; empty cues are skipped.
+
+    A file over ``max_bytes`` is a reject row; raise the argument to read larger ones.
+    """
+    body = files.select(key, (F.octet_length("content") > max_bytes).alias("_big"), once(clean_content(F.col("content"))).alias("_t"))
     blocks = F.filter(F.transform(F.split("_t", "\n\n"), _block_lines), lambda b: F.exists(b, lambda x: X.strip(x) != ""))
 
     def judged(b: Column) -> Column:
@@ -104,8 +107,8 @@ def parse_cues_strict(files: DataFrame, key: str = "path") -> tuple[DataFrame, D
     return cues, d.where("fault IS NOT NULL").select(key, "fault")
 
 
-def read_cues_strict(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
-    return parse_cues_strict(read_files(spark, paths))
+def read_cues_strict(spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    return parse_cues_strict(read_files(spark, paths), max_bytes=max_bytes)
 
 
 def parse_webvtt(files: DataFrame, key: str = "path") -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cueloom.functions import sequence
-from cueloom.operators import align, jobs, layout, segment
+from cueloom.operators import align, jobs, layout, prepare, segment
 
 HOLES = [3, 4, 7, 8, 9, 15, 16, 17, 31, 32, 40]
 
@@ -80,3 +80,19 @@ def test_retry_cycles_have_no_root(spark):
     got = {r.id: (r.root_id, r.depth) for r in jobs.retry_lineage(d).collect()}
     none = (None, None)
     assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (1, 3), 5: none, 6: none, 7: none, 8: (8, 0), 9: none}
+
+
+def test_names_inside_unspaced_text(spark):
+    schema = "media_id long, cue_idx long, start_ms long, end_ms long, text string"
+    ref = spark.createDataFrame([(1, 0, 0, 1000, "東京タワーへ行く"), (1, 1, 2000, 3000, "Ａｎｎａ  Lee came"), (1, 2, 4000, 5000, "Annabel came"), (1, 3, 6000, 7000, "京です")], schema)
+    own = spark.createDataFrame([(1, 0, 0, 1000, "さあ東京へ"), (1, 1, 2000, 3000, "anna lee is here"), (1, 2, 6000, 7000, "京だ")], schema)
+    forms = spark.createDataFrame([("Tokyo", "東京"), ("Anna Lee", "Anna Lee"), ("Kyo", "京")], "canonical string, form string")
+    got = {r.form: (r.mentions, r.exact_hit) for r in align.mention_recall(own, ref, forms).collect()}
+    assert got == {"東京": (1, 1), "Anna Lee": (1, 1), "京": (1, 1)}
+
+
+def test_spliced_segments_keep_their_text(spark):
+    segments = spark.createDataFrame([(1, 0, 0, 20_000, 3, 1.0, "abc"), (1, 1, 30_000, 31_000, 9, 1.0, "all right")], "media_id long, seg_idx long, start_ms long, end_ms long, text_len long, compression_ratio double, text string")
+    other = spark.createDataFrame([(1, 0, 0, 9_000, 40, 1.0, "x" * 40), (1, None, 25_000, 26_000, 3, 1.0, "gap")], "media_id long, span_seg_idx long, start_ms long, end_ms long, text_len long, compression_ratio double, text string")
+    got = {(r.text, r.origin) for r in prepare.splice_redecodes(segments, other).collect()}
+    assert got == {("x" * 40, "redecode"), ("gap", "redecode"), ("all right", "original")}
