@@ -89,22 +89,24 @@ def declared(files: DataFrame, known: DataFrame, least: float = MIN_COSINE) -> D
     """
     idf, vectors, n = template_vectors(known)
     idf, vectors = small_side(idf), small_side(vectors)
-    units = stored(statements(files).select("_key", "body").distinct())
-    bodies = units.select("body").distinct().select("body", F.xxhash64("body").alias("h"), F.explode(terms_of(F.col("body"))).alias("term"))
-    tf = bodies.groupBy("body", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # a statement is named by its hash from here on, so that no row but one carries its text
+    units = statements(files).select("_key", "body", F.sha2("body", 256).alias("b"))
+    owners = stored(units.select("_key", "b").distinct())
+    terms = units.groupBy("b").agg(F.first("body").alias("body")).select("b", F.explode(terms_of(F.col("body"))).alias("term"))
+    tf = terms.groupBy("b", "term").agg(F.count(F.lit(1)).alias("tf"))
     rare = math.log(1 + n)
-    weighted = stored(tf.join(idf, "term", "left").select("body", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("w")))
-    norms = weighted.groupBy("body").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    dots = weighted.join(vectors, "term").groupBy("body", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("_d"))
-    cosine = dots.join(norms, "body").select("body", "license", F.round(F.col("_d") / F.col("_n"), 6).alias("score")).where(F.col("score") >= least)
-    best = cosine.groupBy("body").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    own = units.join(best, "body").groupBy("_key").agg(F.min("b").alias("b"))
-    return own.select("_key", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"))
+    weighted = stored(tf.join(idf, "term", "left").select("b", "term", (F.col("tf") * F.coalesce("idf", F.lit(rare))).alias("w")))
+    norms = weighted.groupBy("b").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
+    dots = weighted.join(vectors, "term").groupBy("b", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("_d"))
+    cosine = dots.join(norms, "b").select("b", "license", F.round(F.col("_d") / F.col("_n"), 6).alias("score")).where(F.col("score") >= least)
+    best = cosine.groupBy("b").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best"))
+    own = owners.join(best, "b").groupBy("_key").agg(F.min("best").alias("best"))
+    return own.select("_key", F.col("best.license").alias("license"), (-F.col("best.s")).alias("score"))
 
 
 def parent_of(path: Column) -> Column:
-    """The directory of a path; the empty string is the root."""
-    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.lit(""))
+    """The directory of a path; the empty string is the root, null for a null path."""
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", "")).when(path.isNotNull(), "")
 
 
 def inherited(dirs: DataFrame, owners: DataFrame) -> DataFrame:
