@@ -1,16 +1,17 @@
 """Near-duplicates by MinHash bands, odd sketches and exact confirmation.
 
 A document's set holds its distinct 2-word shingles as 64-bit hashes. Documents with equal sets form a
-class (one representative); classes are nodes. Of 128 MinHash samples, 32 bands of 4 make candidate
-buckets (a pair of similarity 0.8 shares none of them with a chance of 5e-8), and the samples folded
-into a parity bitmap of 512 bits make an odd sketch: the popcount of the XOR of two sketches estimates
+class (one representative); classes are nodes. Of 256 MinHash samples, 32 bands of 4 make candidate
+buckets (a pair of similarity 0.8 shares none of them with a chance of 5e-8), and all samples folded
+into a parity bitmap of 1,024 bits make an odd sketch: the popcount of the XOR of two sketches estimates
 a similarity near 1 so well that a bound five standard deviations off 0.8 settles which candidates are
 confirmed on their full sets.
 
 No bucket is expanded into its pairs. In each round a bucket elects one pivot, and only members that
 are not yet in the pivot's component meet it; then components are joined anew and settled buckets
-drop out. What is still apart after the rounds is compared component by component (each co-occurring
-pair of components once, by sketch in the join itself), so that no link between the classes is lost.
+drop out. Components that are still apart but share a bucket are compared in full, so that no link
+between classes is lost: single nodes by sketch and set, others in blocks of nodes against blocks of
+the larger component, of which only the links leave the task.
 
 Defined results: null, empty and wordless texts have an empty set, no links and are kept; rows with
 one doc_id are one document; rows with a null doc_id are measured, never linked and kept; an empty
@@ -32,13 +33,16 @@ from cueloom.llm.common import small_side, stored
 
 SHINGLE = 2
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-SKETCH_WORDS = 8
+#: The bands use the first samples, the sketch all of them.
+SAMPLES = 256
+SKETCH_WORDS = 16
 #: Similarity in percent.
 THRESHOLD = 80
-#: Differing sketch bits up to which a pair is confirmed: 47 are expected at 0.8, with a deviation of 8.5.
-SKETCH_LIMIT = 90
-PIVOT_ROUNDS = 3
+#: Differing sketch bits up to which a pair is confirmed: 93 are expected at 0.8, with a deviation of 11.2.
+SKETCH_LIMIT = 149
+PIVOT_ROUNDS = 2
+#: Nodes of the smaller and of the larger side that are compared as one block.
+BLOCK_A, BLOCK_B = 64, 256
 #: Bytes of text and set elements that a task works on at once.
 TEXT_BYTES = 2 << 20
 CHUNK = 1 << 16
@@ -184,16 +188,66 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the stored distinct ids; rows that share an id are one document, and one set speaks for all."""
+    return stored(full_sets(docs.select("doc_id", "text").join(small_side(ids), "doc_id", "left_semi")).groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "lz4")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of stored pairs (a, b), those whose full sets have the similarity, with it."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    # one row per id: rows that share an id are one document, and the lowest row of it speaks for all
-    sets = stored(full_sets(docs.select("doc_id", "text").join(small_side(ids), "doc_id", "left_semi")).groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "lz4")
+    """Of stored pairs (a, b), those whose full sets have the similarity."""
+    ids = pairs.select(F.col("a").alias("doc_id")).distinct().unionByName(pairs.select(F.col("b").alias("doc_id")).distinct())
+    sets = _sets_of(stored(ids.distinct()), docs)
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("_x")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("_y")), "b")
     shared = F.size(F.array_intersect("_x", "_y")).cast("long")
     counted = two.select("a", "b", shared.alias("_i"), (F.size("_x") + F.size("_y")).cast("long").alias("_n"))
-    return counted.where(100 * F.col("_i") >= THRESHOLD * (F.col("_n") - F.col("_i"))).select("a", "b", (F.col("_i") / (F.col("_n") - F.col("_i"))).alias("similarity"))
+    return counted.where(100 * F.col("_i") >= THRESHOLD * (F.col("_n") - F.col("_i"))).select("a", "b")
+
+
+def _links_between(pairs: DataFrame, known: DataFrame, docs: DataFrame) -> DataFrame:
+    """All links (a, b) between the nodes of stored component pairs (la, lb).
+
+    The nodes of the smaller sides that meet a larger component are taken together, in blocks.
+    """
+    sizes = stored(known.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    sized = pairs.join(sizes.select(F.col("label").alias("la"), F.col("n").alias("na")), "la").join(sizes.select(F.col("label").alias("lb"), F.col("n").alias("nb")), "lb")
+    singles = _confirmed(stored(sized.where("na = 1 AND nb = 1").select(F.col("la").alias("a"), F.col("lb").alias("b"))), docs)
+    a_is_big = F.struct("na", "la") > F.struct("nb", "lb")
+    sided = sized.where("na > 1 OR nb > 1").select(F.when(a_is_big, F.col("la")).otherwise(F.col("lb")).alias("big"), F.when(a_is_big, F.col("lb")).otherwise(F.col("la")).alias("label"))
+    small = stored(sided.join(known, "label").select("big", "node").distinct())
+    large = stored(small.select("big").distinct().join(known.select(F.col("label").alias("big"), "node"), "big"))
+    sets = _sets_of(stored(small.select(F.col("node").alias("doc_id")).unionByName(large.select(F.col("node").alias("doc_id"))).distinct()), docs)
+
+    def blocks(side: DataFrame, rows: int, name: str) -> DataFrame:
+        counts = side.groupBy("big").agg(F.ceil(F.count(F.lit(1)) / rows).alias("_k"))
+        full = side.join(counts, "big").join(sets, F.col("node") == F.col("doc_id"))
+        # hashed, so a block has about that many rows; its size does not depend on the component's
+        placed = full.withColumn(f"{name}_block", F.pmod(F.xxhash64("node"), F.col("_k")))
+        return stored(placed.groupBy("big", f"{name}_block").agg(F.collect_list("node").alias(f"{name}_ids"), F.collect_list("shingles").alias(f"{name}_sets")), "lz4")
+
+    a, b = blocks(small, BLOCK_A, "a"), blocks(large, BLOCK_B, "b")
+    # block numbers first: the blocks themselves then travel by (component, block)
+    met = a.select("big", "a_block").join(b.select("big", "b_block"), "big")
+    return singles.unionByName(met.join(a, ["big", "a_block"]).join(b, ["big", "b_block"]).select("a_ids", "a_sets", "b_ids", "b_sets").mapInArrow(_compare_blocks, "a bigint, b bigint"))
+
+
+def _compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            a_ids, b_ids = (batch.column(c)[row].values.to_numpy() for c in ("a_ids", "b_ids"))
+            a_sets, b_sets = (batch.column(c)[row].values for c in ("a_sets", "b_sets"))
+            flat = b_sets.flatten().to_numpy()
+            sizes = np.diff(b_sets.offsets.to_numpy())
+            starts = np.cumsum(sizes) - sizes
+            out_a, out_b = [], []
+            for k, own in enumerate(a_sets):
+                one = np.sort(own.values.to_numpy())
+                place = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+                shared = np.add.reduceat((one[place] == flat).astype(np.int64), starts)
+                near = b_ids[100 * shared >= THRESHOLD * (len(one) + sizes - shared)]
+                out_a += [int(a_ids[k])] * len(near)
+                out_b += near.tolist()
+            yield pa.record_batch([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -222,14 +276,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         named = members.join(labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label"))
         open_bands = named.groupBy("band").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("band")
         apart = stored(named.join(open_bands, "band"))
-    rest = apart.select("band", "label").distinct()
-    sides = rest.alias("x").join(rest.alias("y"), F.col("x.band") == F.col("y.band")).where("x.label < y.label").select(F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
-    known = sketches.join(nodes, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    left = sides.join(known.select(F.col("label").alias("la"), F.col("node").alias("a")), "la")
-    left = left.join(sketches.alias("sa"), F.col("a") == F.col("sa.node")).select("la", "lb", "a", F.struct("sa.n_shingles", *[f"sa.{s}" for s in _SKETCH]).alias("p"))
-    right = known.select(F.col("label").alias("lb"), F.col("node").alias("b"), F.struct("n_shingles", *_SKETCH).alias("q"))
-    cross = left.join(right, (left["lb"] == right["lb"]) & _close("p", "q")).select("a", "b")
-    more = _confirmed(stored(cross.distinct()), docs)
+    known = stored(sketches.select("node").join(nodes, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    more = _links_between(stored(_label_pairs(apart, heads)), known, docs)
     links = stored(links.unionByName(more))
     labels = components(links)
     named = classes.join(labels, classes["rep"] == labels["node"], "left").select("f1", "f2", F.coalesce("label", "rep").alias("_component"))
@@ -239,6 +287,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _label_pairs(apart: DataFrame, heads: DataFrame) -> DataFrame:
+    """(la, lb): pairs of components that share a bucket and may have a link between them.
+
+    A component of one node carries its sketch and bands: two such meet only if their sketches
+    allow it, and only in the first band that both have.
+    """
+    rest = apart.select("band", "label").distinct()
+    # a node that is its own label and nobody else's
+    alone = apart.groupBy("label").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a = _b AND _a = label").select("label")
+    own = heads.select(F.col("node").alias("label"), F.struct("n_shingles", *_SKETCH).alias("s"), "bands").join(alone, "label")
+    rows = rest.join(own, "label", "left")
+    x = rows.select("band", F.col("label").alias("la"), F.col("s").alias("p"), F.col("bands").alias("pb"))
+    y = rows.select("band", F.col("label").alias("lb"), F.col("s").alias("q"), F.col("bands").alias("qb"))
+    either = F.col("p").isNull() | F.col("q").isNull()
+    first = F.array_min(F.array_intersect("pb", "qb")) == x["band"]
+    return x.join(y, (x["band"] == y["band"]) & (F.col("la") < F.col("lb")) & (either | (_close("p", "q") & first))).select("la", "lb").distinct()
+
+
 def _link(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
     """Confirmed links of candidate pairs (a, b)."""
     a, b = sketches.alias("p"), sketches.alias("q")
