@@ -52,7 +52,7 @@ def hex_number(text: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(text, 1, digits), 16, 10).cast("long")
 
 
-def small_batches(spark: SparkSession, size: str = "16m") -> None:
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bound what a Python worker is sent at once, where the session has Spark's default: texts can be long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name) in ("67108864b", "64MB"):

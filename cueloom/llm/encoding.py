@@ -61,15 +61,20 @@ def unit_encoder(path: str) -> UnitEncoder:
 class UnitEncoder:
     """Texts of an Arrow column to their ids, flat and with the number of ids per text."""
 
+    #: Part of the bounds above that an encoder uses.
+    share = 1.0
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # for a single piece the pre-tokenizer has nothing left to split
+        # for a single piece the pre-tokenizer has nothing left to split, and ASCII letters stand for their bytes
         self.piece = Tokenizer.from_file(path)
         self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.pre_tokenizer = None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self._clear()
@@ -86,9 +91,9 @@ class UnitEncoder:
         names, ends, met, ids = list(self.known), self.ends, self.met, self.ids
         keep = np.flatnonzero(met[: len(names)] > 1)
         self._clear()
-        if len(keep) <= CACHE_UNITS // 2:
+        if len(keep) <= CACHE_UNITS * self.share / 2:
             sizes = ends[keep + 1] - ends[keep]
-            if sizes.sum() <= CACHE_IDS // 2:
+            if sizes.sum() <= CACHE_IDS * self.share / 2:
                 self._add([names[i] for i in keep.tolist()], ids[_ragged(ends[keep], sizes)], sizes)
                 self.met[: len(keep)] = 1
 
@@ -122,7 +127,10 @@ class UnitEncoder:
             else:
                 words[unit] = None
         fresh = [w for w in words if w not in self.known]
-        self._add(fresh, *self._encode([" " + w for w in fresh], self.piece))
+        plain = [w for w in fresh if w.isascii()]
+        self._add(plain, *self._encode(["Ġ" + w for w in plain], self.plain))
+        other = [w for w in fresh if not w.isascii()]
+        self._add(other, *self._encode([" " + w for w in other], self.piece))
         self._add(whole, *self._encode(self._spell(whole)))
         for tail in {t for _, _, t in signed}.difference(self.tails):
             self.tails[tail] = self._encode([tail])[0]
@@ -141,7 +149,7 @@ class UnitEncoder:
         names = coded.dictionary.to_pylist()
         slots = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
         fresh = np.flatnonzero(slots < 0)
-        if len(self.known) + len(fresh) > CACHE_UNITS or self.ends[len(self.known)] > CACHE_IDS:
+        if len(self.known) + len(fresh) > CACHE_UNITS * self.share or self.ends[len(self.known)] > CACHE_IDS * self.share:
             self._shrink()
             slots = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
             fresh = np.flatnonzero(slots < 0)

@@ -234,6 +234,8 @@ class Model:
 class PieceEncoder(UnitEncoder):
     """Texts to piece ids with the bounded unit cache of its base."""
 
+    share = 0.25  # units are solved fast in lockstep, and a worker keeps this cache from stage to stage
+
     def __init__(self, path: str):
         self.model = Model(path)
         self.dtype = np.dtype(np.uint16 if len(self.model.pieces) <= 1 << 16 else np.uint32)
