@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Beyond so many units or ids a task's cache keeps only units met again: the bound of its memory (about 200 MB).
-CACHE_UNITS = 1_000_000
+#: Beyond so many units or ids a task's cache keeps only units met again: the bound of its memory (about 150 MB).
+CACHE_UNITS = 700_000
 CACHE_IDS = 12_000_000
 #: Characters handled at once; longer texts are taken in parts, cut before the space of a unit.
-GROUP = 1 << 22
+GROUP = 1 << 21
 
 _UNIT = re.compile(r" (?=\S)")
 _STARTS = re.compile(r"(?=(?: |(?<=\S)\n)\S)")
@@ -48,6 +48,9 @@ def parts_of(text: str, size: int = GROUP) -> Iterator[str]:
     yield text[at:]
 
 
+#: Byte to character of such vocabularies: printable ones stand for themselves, the rest follow from 256 on.
+_KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _KEPT} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _KEPT)}
 #: A word of letters with signs after it: one piece of letters and one of signs, by the pre-tokenizer's rule.
 _WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:*#$%&|]*)")
 
@@ -66,15 +69,13 @@ class UnitEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        # for a single piece the pre-tokenizer has nothing left to split, and ASCII letters stand for their bytes
+        # for a single piece the pre-tokenizer has nothing to split: bytes go in as the characters that stand for them
         self.piece = Tokenizer.from_file(path)
-        self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.plain = Tokenizer.from_file(path)
-        self.plain.pre_tokenizer = None
+        self.piece.pre_tokenizer = None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self._clear()
@@ -127,10 +128,7 @@ class UnitEncoder:
             else:
                 words[unit] = None
         fresh = [w for w in words if w not in self.known]
-        plain = [w for w in fresh if w.isascii()]
-        self._add(plain, *self._encode(["Ġ" + w for w in plain], self.plain))
-        other = [w for w in fresh if not w.isascii()]
-        self._add(other, *self._encode([" " + w for w in other], self.piece))
+        self._add(fresh, *self._encode(["Ġ" + (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)) for w in fresh], self.piece))
         self._add(whole, *self._encode(self._spell(whole)))
         for tail in {t for _, _, t in signed}.difference(self.tails):
             self.tails[tail] = self._encode([tail])[0]
@@ -189,16 +187,21 @@ class UnitEncoder:
         out[_ragged(begin + head_sizes, unit_sizes)] = self.ids[_ragged(starts, sizes)]
         return out, total
 
+    def _long(self, text: str, group: int) -> list[np.ndarray]:
+        """Ids of a text that is taken in parts."""
+        return [self._group(pa.array([p]), None)[0].copy() for p in parts_of(text, group)]
+
     def __call__(self, texts: pa.Array, tail: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, number per text) of consecutive runs of texts; null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         chars = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        group = int(GROUP * self.share)
         at = 0
         while at < len(texts):
             before = chars[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(chars, before + GROUP, "right")))
-            if end == at + 1 and chars[at] - before > GROUP:
-                runs = [self._group(pa.array([p]), None)[0].copy() for p in parts_of(texts[at].as_py())]
+            end = max(at + 1, int(np.searchsorted(chars, before + group, "right")))
+            if end == at + 1 and chars[at] - before > group:
+                runs = self._long(texts[at].as_py(), group)
                 if tail is not None:
                     runs.append(np.array([tail], self.dtype))
                 ids = np.concatenate(runs)

@@ -220,6 +220,7 @@ def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
                 part = batch.slice(at, 128)
                 langs, scores, families = shared.value.predict(part.column("text").to_pylist())
                 yield pa.record_batch([*(part.column(c) for c in kept), pa.array(langs), pa.array(scores), pa.array(families, pa.string())], [*kept, "lang_pred", "score", "family_pred"])
+        pa.default_memory_pool().release_unused()
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", lang_pred string, score double, family_pred string"
     return docs.select(*kept).mapInArrow(label, schema)

@@ -142,6 +142,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 else:
                     columns += [pa.nulls(len(sets), pa.int64())] * (2 + SKETCH_WORDS) + [pa.nulls(len(sets), pa.list_(pa.int64()))]
                 yield pa.record_batch(columns, ["doc_id", "n_shingles", "f1", "f2", *_SKETCH, "bands"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(sign, _SIGNED)
 
@@ -158,6 +159,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if len(sets) else np.zeros(0, np.int64)
                 yield pa.record_batch([ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["doc_id", "shingles"])
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(build, "doc_id bigint, shingles array<bigint>")
 

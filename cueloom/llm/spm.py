@@ -36,6 +36,8 @@ SPACE = "▁"
 CHUNK = 1 << 16
 #: Chunks whose matrices are combined into one block by a task.
 BLOCK = 256
+#: Positions (units by their longest) that are solved in lockstep at once.
+LOCKSTEP = 1 << 18
 NONE = -(1 << 58)
 
 _PIECES = re.compile("▁+[^▁\n]*|\n[^▁\n]*|^[^▁\n]+")
@@ -120,7 +122,7 @@ class Model:
             width = int(sizes[order[at]])
             top = max(8, 1 << (width - 1).bit_length())
             end = int(np.searchsorted(sizes[order], top, "right"))
-            end = min(end, at + max(1, (1 << 20) // top))
+            end = min(end, at + max(1, LOCKSTEP // top))
             rows = order[at:end]
             for row, ids in zip(rows.tolist(), self._lockstep([units[i] for i in rows.tolist()], sizes[rows]), strict=True):
                 out[row] = ids
@@ -234,7 +236,7 @@ class Model:
 class PieceEncoder(UnitEncoder):
     """Texts to piece ids with the bounded unit cache of its base."""
 
-    share = 0.25  # units are solved fast in lockstep, and a worker keeps this cache from stage to stage
+    share = 0.35  # units are solved fast in lockstep, and a worker keeps this cache from stage to stage
 
     def __init__(self, path: str):
         self.model = Model(path)
@@ -253,6 +255,9 @@ class PieceEncoder(UnitEncoder):
             split = pa.array(own, pa.list_(pa.string()))
         return self._ids_of(split, np.array([bool(len(t.as_py())) for t in texts]))
 
+    def _long(self, text: str, group: int) -> list[np.ndarray]:
+        return [self.span(SPACE + text.replace(" ", SPACE))]
+
     def _ids_of(self, split: pa.Array, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
         parts = split.flatten()
@@ -311,6 +316,7 @@ def _whole(model: str):
                 same = [encode.model.decode(ids[e - s : e].astype(np.int64)) == t for e, s, t in zip(ends.tolist(), sizes.tolist(), source, strict=True)]
                 yield pa.record_batch([*(part.column(c) for c in kept), pa.array(sizes, pa.int64()), _lists(ids, sizes), pa.array(same)], [*kept, "n_tokens", "ids", "round_trip"])
                 at += len(sizes)
+        pa.default_memory_pool().release_unused()
 
     return run
 
