@@ -39,7 +39,7 @@ DICT_BYTES = 1 << 16
 SAMPLE_DOCS = 1_500
 SAMPLE_PIECES = 4
 PIECE_BYTES = 2_048
-LEVEL = 3
+LEVEL = 1
 
 _INDEX = "array<struct<doc_id:bigint,offset:bigint,length:bigint,n_tokens:bigint>>"
 PACKS = f"shard int, seq int, n_docs bigint, n_tokens bigint, dict_sha256 string, index {_INDEX}, pack binary"
