@@ -3,7 +3,8 @@
 The pre-tokenizer of such vocabularies opens a new piece at every space that a non-space follows, and
 at every line feed between two non-spaces, so a text is the concatenation of its units (its start,
 then ` word` by ` word`), and equal units have equal ids. A task encodes each unit once while its
-bounded cache holds it.
+bounded cache holds it. Added tokens of the vocabulary (`<|endoftext|>`) cut a text before that: what
+lies between them is split as texts of their own, as the library does.
 """
 
 from __future__ import annotations
@@ -72,7 +73,11 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        if self.tokenizer.normalizer or any(t.single_word or t.lstrip or t.rstrip for t in added.values()) or len({t.normalized for t in added.values()}) > 1:
+            raise ValueError("only plain added tokens and no normalizer are known here")
+        self.added = {t.content: i for i, t in added.items()}
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
         # for a single piece the pre-tokenizer has nothing to split: bytes go in as the characters that stand for them
         self.piece = Tokenizer.from_file(path)
         self.piece.pre_tokenizer = None
@@ -158,8 +163,26 @@ class UnitEncoder:
         self.met[slots] += 1
         return slots[coded.indices.to_numpy(zero_copy_only=False)]
 
+    def _between(self, text: str) -> tuple[list[str], list[int]]:
+        """The parts of a text between its added tokens, and the ids of these."""
+        return self.cut.split(text), [self.added[t] for t in self.cut.findall(text)]
+
     def _group(self, texts: pa.Array, tail: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and their number per text; tail: an id put after each text."""
+        tails = np.full(len(texts), -1 if tail is None else tail, np.int64)
+        if not any(pc.any(pc.match_substring(texts, t)).as_py() for t in self.added):
+            return self._parts(texts, tails)
+        parts, after, counts = [], [], []
+        for text, last in zip(texts.to_pylist(), tails.tolist(), strict=True):
+            own, ids = self._between(text)
+            parts += own
+            after += [*ids, last]
+            counts.append(len(own))
+        flat, sizes = self._parts(pa.array(parts, pa.string()), np.array(after, np.int64))
+        return flat, np.add.reduceat(sizes, np.cumsum(counts) - counts)
+
+    def _parts(self, texts: pa.Array, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number per text without added tokens; tails: an id put after each text, or -1."""
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         if pc.any(glued := pc.match_substring_regex(texts, _GLUED)).as_py():
             own = [_units_of(t.as_py()) if g else None for t, g in zip(texts, glued.to_pylist(), strict=True)]
@@ -174,7 +197,7 @@ class UnitEncoder:
         slots[is_first] = 0
         starts = self.ends[slots]
         sizes = np.where(is_first, 0, self.ends[slots + 1] - starts)
-        extra = tail is not None
+        extra = tails >= 0
         # lengths per text: head, units, tail
         unit_sizes = np.add.reduceat(sizes, offsets[:-1]) if n else np.zeros(0, np.int64)
         total = head_sizes + unit_sizes + extra
@@ -182,14 +205,19 @@ class UnitEncoder:
         ends = np.cumsum(total)
         begin = ends - total
         out[_ragged(begin, head_sizes)] = head
-        if extra:
-            out[ends - 1] = tail
+        out[ends[extra] - 1] = tails[extra]
         out[_ragged(begin + head_sizes, unit_sizes)] = self.ids[_ragged(starts, sizes)]
         return out, total
 
     def _long(self, text: str, group: int) -> list[np.ndarray]:
         """Ids of a text that is taken in parts."""
-        return [self._group(pa.array([p]), None)[0].copy() for p in parts_of(text, group)]
+        own, added = self._between(text)
+        out = []
+        for part, after in zip(own, [*added, -1], strict=True):
+            *most, last = parts_of(part, group)
+            out += [self._parts(pa.array([p]), np.array([-1]))[0] for p in most]
+            out.append(self._parts(pa.array([last]), np.array([after]))[0])
+        return out
 
     def __call__(self, texts: pa.Array, tail: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, number per text) of consecutive runs of texts; null counts as empty."""

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from cueloom.llm import encoding, lengths, sharding, tokenfile
 from cueloom.llm.common import shared_folder
@@ -121,3 +122,19 @@ def test_written_shards(spark):
     back = spark.read.parquet(path)
     assert {r["shard"]: r["n"] for r in back.groupBy("shard").agg(F.count("*").alias("n")).collect()} == {0: 30, 1: 30, 2: 30}
     assert {(r.doc_id, r.text) for r in back.collect()} == {(i, f"t{i}") for i in range(90)}
+
+
+@pytest.mark.parametrize("group", [1 << 21, 16])
+def test_ids_are_those_of_a_fresh_tokenizer(monkeypatch, group):
+    """Also where a text holds strings of added tokens."""
+    end = "<|endoftext|>"
+    texts = [*ODD, f"a {end} x", f"a  {end}  x", end, end * 3, f"\n{end}\n", f"{end} lead", f"tail {end}", "<|endoftext| >", f"a <|{end}|> b", f"{'many words ' * 9}{end}{' more words' * 9}", "plain text"]
+    library = Tokenizer.from_file(PATH)
+    expected = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [64, 220, 50256, 2124] in expected
+    monkeypatch.setattr(encoding, "GROUP", group)
+    for tail in (None, 0):
+        got = []
+        for ids, sizes in encoding.UnitEncoder(PATH)(pa.array(texts), tail):
+            got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [[*e, 0] if tail == 0 else e for e in expected]
