@@ -48,7 +48,7 @@ def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Adds n_tokens, ids and round_trip."""
     ship_package(spark)
     small_batches(spark)
-    return spm.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+    return spm.encode_merges(docs, tokenizer_path("piece_bpe_32k.model"))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -1,6 +1,11 @@
-"""SentencePiece encoding and decoding by a max-plus scan over piece scores.
+"""SentencePiece encoding and decoding, by merge order or by a max-plus scan over piece scores.
 
-A text is normalised as the model says (a dummy space in front, spaces as U+2581) and cut into the
+`encode_merges` gives the library's ids of a byte-pair model: each unit (below) is merged in the order of
+the file. Chunks of long documents end where no piece holds the two characters that meet, so nothing is
+merged across and the ids are those of the whole text; a stretch without such a place stays in one chunk.
+
+`encode` takes the greatest sum of scores instead, which for a byte-pair model gives other ids. A text is
+normalised as the model says (a dummy space in front, spaces as U+2581) and cut into the
 pieces with the greatest sum of scores, characters without a piece as their bytes. No piece has a
 U+2581 after another character, nor a line feed, so a text falls into units that are cut on their own;
 a task solves the units it has not met in lockstep, one vector operation per position and piece length.
@@ -21,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -243,8 +249,12 @@ class PieceEncoder(UnitEncoder):
         self.dtype = np.dtype(np.uint16 if len(self.model.pieces) <= 1 << 16 else np.uint32)
         self._clear()
 
+    def _cuts(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, flat, and their number."""
+        return self.model.best_cuts(units)
+
     def _learn(self, units: list[str]) -> None:
-        flat, sizes = self.model.best_cuts([u if u[:1] == "\n" else SPACE + u for u in units])
+        flat, sizes = self._cuts([u if u[:1] == "\n" else SPACE + u for u in units])
         self._add(units, flat.astype(self.dtype), sizes)
 
     def _group(self, texts: pa.Array, tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -281,18 +291,56 @@ class PieceEncoder(UnitEncoder):
         head = ""
         if text[0] not in (SPACE, "\n"):
             head = _PIECES.match(text).group()
-        ids = [self.model.best_cuts([head])[0].astype(self.dtype)] if head else []
+        ids = [self._cuts([head])[0].astype(self.dtype)] if head else []
         units = self.units_of(text[len(head) :])
         if units:
             ids.append(self._ids_of(pa.array([units]), np.array([True]))[0])
         return np.concatenate(ids)
 
 
+class MergeEncoder(PieceEncoder):
+    """Texts to piece ids by merge order: the library encodes each unit once."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as proto
+
+        model = proto.ModelProto()
+        with open(path, "rb") as f:
+            model.ParseFromString(f.read())
+        kind = model.SentencePiece.Type
+        if model.trainer_spec.model_type != model.trainer_spec.BPE or any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in model.pieces):
+            raise ValueError("a byte-pair model without user-defined or unused pieces is expected")
+        model.normalizer_spec.add_dummy_prefix = False  # units bring their own
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+        self.pairs = {x[i : i + 2] for x in self.model.ids for i in range(len(x) - 1)}
+
+    def _cuts(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = self.library.encode(units, out_type=int, num_threads=1)
+        return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+    def chunks(self, text: str, size: int) -> Iterator[str]:
+        """Parts of a normalised text of at least `size` characters; no piece crosses their ends."""
+        at = 0
+        while at < len(text):
+            end = at + size
+            while end < len(text) and text[end - 1 : end + 1] in self.pairs:
+                end += 1
+            yield text[at:end]
+            at = end
+
+
 @lru_cache(2)
 def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
+@lru_cache(2)
+def merge_encoder(path: str) -> MergeEncoder:
+    return MergeEncoder(path)
+
+
 _DONE = "n_tokens bigint, ids array<int>, round_trip boolean"
 
 
@@ -300,11 +348,11 @@ def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def _whole(model: str):
+def _whole(model: str, encoder=piece_encoder):
     """Rows to rows with pieces, for texts that one task encodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = piece_encoder(model)
+        encode = encoder(model)
         for batch in batches:
             at = 0
             kept = [c for c in batch.schema.names if c != "_text"]
@@ -321,15 +369,63 @@ def _whole(model: str):
     return run
 
 
+def encode_merges(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
+    """docs plus n_tokens, ids by merge order and round_trip (decoding gives the text again)."""
+    return _encode(docs, model, chunk, merge_encoder, merge_long)
+
+
 def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
-    """docs plus n_tokens, ids and round_trip (decoding gives the text again)."""
+    """docs plus n_tokens, ids of the greatest sum of scores and round_trip."""
+    return _encode(docs, model, chunk, piece_encoder, encode_long)
+
+
+def _encode(docs: DataFrame, model: str, chunk: int, encoder, long) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "round_trip")]
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
     rows = docs.select(*kept, F.col("text").alias("_text"))
     is_long = F.coalesce(F.char_length("_text"), F.lit(0)) > chunk
-    short = rows.where(~is_long).mapInArrow(_whole(model), f"{schema}, {_DONE}")
-    return short.unionByName(encode_long(rows.where(is_long), kept, model, chunk))
+    short = rows.where(~is_long).mapInArrow(_whole(model, encoder), f"{schema}, {_DONE}")
+    return short.unionByName(long(rows.where(is_long), kept, model, chunk))
+
+
+def merge_long(rows: DataFrame, kept: list[str], model: str, chunk: int) -> DataFrame:
+    """Documents of several chunks, each encoded by a task of its own."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = merge_encoder(model)
+        for batch in batches:
+            for row, text in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                for no, part in enumerate(known.chunks(SPACE + text.replace(" ", SPACE), chunk)):
+                    yield pa.record_batch([pa.array([row]), pa.array([no]), pa.array([part])], ["_row", "no", "part"])
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = merge_encoder(model)
+        for batch in batches:
+            ids = [known.span(p) for p in batch.column("part").to_pylist()]
+            yield pa.record_batch([batch.column("_row"), batch.column("no"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["_row", "no", "ids"])
+
+    # the row numbers are written before they are used, so a lost task cannot change them
+    numbered = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
+    parts = numbered.select("_row", "_text").mapInArrow(cut, "_row bigint, no bigint, part string").repartition("_row", "no")
+    return _joined(numbered, parts.mapInArrow(spans, "_row bigint, no bigint, ids array<int>"), kept, model)
+
+
+def _joined(numbered: DataFrame, pieces: DataFrame, kept: list[str], model: str) -> DataFrame:
+    """The chunks' ids of every document, one after the other."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = piece_encoder(model).model
+        for batch in batches:
+            texts, ids = batch.column("_text").to_pylist(), batch.column("ids")
+            same = [known.decode(np.asarray(i.values, np.int64)) == t for i, t in zip(ids, texts, strict=True)]
+            sizes = pc.list_value_length(ids).cast(pa.int64())
+            yield pa.record_batch([*(batch.column(c) for c in kept), sizes, ids, pa.array(same)], [*kept, "n_tokens", "ids", "round_trip"])
+
+    kinds = dict(numbered.dtypes)
+    joined = pieces.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
+    return numbered.join(joined, "_row").select(*kept, "_text", "ids").mapInArrow(compare, f"{schema}, {_DONE}")
 
 
 def encode_long(rows: DataFrame, kept: list[str], model: str, chunk: int) -> DataFrame:
@@ -356,24 +452,13 @@ def encode_long(rows: DataFrame, kept: list[str], model: str, chunk: int) -> Dat
             ids = [known.span(p[a : s + b]) for p, s, a, b in zip(*columns, strict=True)]
             yield pa.record_batch([batch.column("_row"), batch.column("no"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["_row", "no", "ids"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = piece_encoder(model).model
-        for batch in batches:
-            texts, ids = batch.column("_text").to_pylist(), batch.column("ids")
-            same = [known.decode(np.asarray(i.values, np.int64)) == t for i, t in zip(ids, texts, strict=True)]
-            sizes = pc.list_value_length(ids).cast(pa.int64())
-            yield pa.record_batch([*(batch.column(c) for c in kept), sizes, ids, pa.array(same)], [*kept, "n_tokens", "ids", "round_trip"])
-
-    kinds = dict(rows.dtypes)
     # the row numbers are written before they are used, so a lost task cannot change them
     numbered = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
     parts = stored(numbered.select("_row", "_text").mapInArrow(cut, "_row bigint, no bigint, size bigint, part string").repartition("_row", "no"))
     moves = stored(parts.mapInArrow(matrices, "_row bigint, no bigint, t array<bigint>"))
     states = small_side(stored(boundary_states(moves)))
     pieces = parts.join(states, ["_row", "no"]).select("_row", "no", "part", "size", "enter", "leave").mapInArrow(spans, "_row bigint, no bigint, ids array<int>")
-    joined = pieces.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
-    return numbered.join(joined, "_row").select(*kept, "_text", "ids").mapInArrow(compare, f"{schema}, {_DONE}")
+    return _joined(numbered, pieces, kept, model)
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:

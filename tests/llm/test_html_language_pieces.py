@@ -8,7 +8,7 @@ import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as proto
 
-from cueloom.llm import htmltext, language, spm
+from cueloom.llm import htmltext, language, queries, spm
 from cueloom.llm.queries import table, tokenizer_path
 
 DATA = "/root/testdata/sf0.001"
@@ -137,3 +137,21 @@ def test_many_blocks_of_chunks(spark, monkeypatch):
     whole = pieces_of([text])[0].tolist()
     assert len(got) == 3 and sorted(len(r.ids) for r in got) == [0, len(whole), len(whole)] and all(r.round_trip for r in got)
     assert spm.encode(docs.where("false"), MODEL).count() == 0
+
+
+@pytest.mark.parametrize("chunk", [3, 50, spm.CHUNK])
+def test_merges_give_the_ids_of_the_library(spark, chunk):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    r = random.Random(chunk)
+    texts = ODD + [None, "<s> </s> <unk> <0x0A>", "  \n\n  x ▁y▁", "\0 a\r\n", "internationalization of unbelievably overlazy foxes " * 9, "日本語のテキスト" * 40, "thethe" * 60]
+    texts += ["".join(r.choice("thea in\n,é日") for _ in range(300)) for _ in range(20)]
+    docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    got = spm.encode_merges(docs, MODEL, chunk=chunk).orderBy("doc_id").collect()
+    assert [r.ids for r in got] == library.encode([t or "" for t in texts]) and all(r.n_tokens == len(r.ids) for r in got)
+
+
+def test_query_gives_the_ids_of_the_library(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    texts = {r.doc_id: r.text or "" for r in table(spark, DATA, "documents").collect()}
+    got = {r.doc_id: r.ids for r in queries.QUERIES["op6_sentencepiece"](spark, DATA).collect()}
+    assert got == dict(zip(texts, library.encode(list(texts.values())), strict=True))
