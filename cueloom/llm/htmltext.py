@@ -6,7 +6,10 @@ and reader comments are left out. Every other run of some length earns points (o
 comma, and more for its length) that are passed to its block's container and, in part, to the
 ancestors; a container's points are discounted by its link density. The best container is widened to
 the article element around it, if there is one, siblings with a good share of its points join it, and
-its runs are the text.
+its runs are the text. What stands between the first and the last of them is kept too.
+
+A class or id marks a part by its first or last word (`ad-box`, `site-sidebar`), not if it tells of layout
+or state (`has-sidebar`, `social-enabled`), and not if the part holds the page's article or most of its points.
 
 Defined results: null and empty html give an empty text, and so do pages without text outside the
 parts that are left out; repeated rows are extracted one by one. Broken markup (missing end tags,
@@ -35,6 +38,10 @@ LEFT_OUT_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice paywall pagination pager popup promo promoted promotion recommended related respond replies share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar widget".split()
 )
 HEADER_WORDS = frozenset(["header", "topbar"])
+#: Marks that hold whatever the size of the part: long comments, lists of other articles and consent texts are no article.
+FIRM_WORDS = frozenset("ad ads advert adverts advertisement advertising comment comments consent cookie cookies disqus gdpr login promoted promotion recommended related reply replies respond signup".split())
+#: Words of layout and state: with one of these a class tells what else the page has.
+STATE_WORDS = frozenset("active allowed closed disabled enabled has hidden layout no non not off on open ready visible with without".split())
 #: An opening li, td and so on closes an open one of these before the stop element.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -47,7 +54,8 @@ MENU_DENSITY = 0.6
 
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|iframe|svg|template)\b(?:.*?</(?P=raw)\s*>|.*)"
+    r"|<svg(?=[\s/])[^<>]*/>"
+    r"|<(?P<raw>script|style|textarea|title|noscript|iframe|svg|template)(?=[\s/>]|$)(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?>(?:[^\"'<>]|\"[^\"<]*\"|'[^'<]*')*)>|[^>]*(?:>|$))"
     r"|<[!?/][^>]*(?:>|$)",
     re.S | re.I,
@@ -60,27 +68,82 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class _Page:
     def __init__(self) -> None:
         self.tag, self.parent, self.out, self.article = ["#"], [-1], [False], [False]
+        self.mark, self.main = [""], [False]  # left out by its class: "soft" or "firm"; main or article body
         self.score, self.text, self.links = [0.0], [0], [0]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters inside links
 
     def open(self, tag: str, parent: int, rest: str) -> int:
         named = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _NAMED.finditer(rest)} if "=" in rest or "hidden" in rest else {}
-        words = {w.lower() for w in _WORDS.findall(f"{named.get('class', '')} {named.get('id', '')}")}
+        words = _marks(f"{named.get('class', '')} {named.get('id', '')}")
         role = named.get("role", "").lower()
         article = tag in ("article", "main") or role in ("main", "article") or "articlebody" in named.get("itemprop", "").lower()
         inside = self.article[parent]
         out = self.out[parent] or tag in LEFT_OUT or role in LEFT_OUT_ROLES or "hidden" in named and named["hidden"] != "false" or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "")
+        mark = ""
         if not article and tag not in ("html", "body"):
-            out = out or bool(words & LEFT_OUT_WORDS)
             # an article's own header may hold its heading; a page's header is left out
-            out = out or (tag == "header" or bool(words & HEADER_WORDS)) and not inside and tag not in HEADINGS
+            out = out or tag == "header" and not inside
+            if words & FIRM_WORDS & LEFT_OUT_WORDS:
+                mark = "firm"
+            elif words & LEFT_OUT_WORDS or words & HEADER_WORDS and not inside and tag not in HEADINGS:
+                mark = "soft"
         elif article and {"comment", "comments", "reply"} & words:
-            out = True
-        for column, value in ((self.tag, tag), (self.parent, parent), (self.out, out), (self.article, article or inside), (self.score, 0.0), (self.text, 0), (self.links, 0)):
+            mark = "firm"
+        main = tag == "main" or role == "main" or "articlebody" in named.get("itemprop", "").lower()
+        for column, value in ((self.tag, tag), (self.parent, parent), (self.out, out), (self.article, article or inside), (self.mark, mark), (self.main, main), (self.score, 0.0), (self.text, 0), (self.links, 0)):
             column.append(value)
         return len(self.tag) - 1
 
 
+def _marks(names: str) -> set[str]:
+    """First and last words of class and id names, without those of layout and state."""
+    out: set[str] = set()
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if words and STATE_WORDS.isdisjoint(words):
+            out |= {words[0], words[-1]}
+    return out
+
+
+def _points(text: str, links: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, LENGTH_POINTS)) * (1 - links / len(text)) if len(text) >= RUN_CHARS else 0.0
+
+
+def _leave_out(page: _Page) -> None:
+    """Leave out the marked parts, but none that holds the page's article or (soft marks) most of the points."""
+    n = len(page.tag)
+    if not any(page.mark):
+        return
+    own = [0.0] * n
+    filled = [False] * n
+    for node, text, links in page.runs:
+        own[node] += _points(text, links)
+        filled[node] = True
+    holds_main, firm, free = [False] * n, [False] * n, [True] * n
+    for node in range(n - 1, 0, -1):
+        filled[page.parent[node]] |= filled[node]
+        holds_main[node] |= page.main[node] and filled[node]
+        holds_main[page.parent[node]] |= holds_main[node]
+    for node in range(1, n):
+        if holds_main[node]:
+            page.mark[node] = ""
+        firm[node] = firm[page.parent[node]] or page.mark[node] == "firm"
+        free[node] = free[page.parent[node]] and not page.mark[node]
+    articles = [page.tag[i] == "article" and filled[i] and not firm[i] for i in range(n)]
+    elsewhere = any(a and f for a, f in zip(articles, free, strict=True))
+    points = [0.0 if f else p for p, f in zip(own, firm, strict=True)]
+    total = sum(points)
+    for node in range(n - 1, 0, -1):
+        up = page.parent[node]
+        points[up] += points[node]
+        articles[up] |= articles[node]
+    for node in range(1, n):
+        if page.mark[node] == "soft" and (2 * points[node] > total or articles[node] and not elsewhere):
+            page.mark[node] = ""
+        page.out[node] = page.out[node] or bool(page.mark[node]) or page.out[page.parent[node]]
+    page.runs = [r for r in page.runs if not page.out[r[0]]]
+
+
 def _read(source: str) -> _Page:
     """The tree and the runs of a page."""
     page = _Page()
@@ -143,6 +206,7 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     page = _read(source)
+    _leave_out(page)
     if not page.runs:
         return ""
     n = len(page.tag)
@@ -154,15 +218,22 @@ def main_text(source: str | None) -> str:
         page.links[page.parent[node]] += page.links[node]
     density = [page.links[i] / page.text[i] if page.text[i] else 0.0 for i in range(n)]
 
-    # lists, tables and blocks that are mostly links are menus
-    menu = [False] * n
+    # lists and tables that are mostly links earn nothing; those of short labels are menus
+    parts = [0] * n
+    for node, _, _ in page.runs:
+        parts[node] += 1
+    for node in range(n - 1, 0, -1):
+        parts[page.parent[node]] += parts[node]
+    linked, menu = [False] * n, [False] * n
     for node in range(1, n):
-        menu[node] = menu[page.parent[node]] or (page.tag[node] in ("ul", "ol", "table", "dl") and density[node] > MENU_DENSITY)
+        own = page.tag[node] in ("ul", "ol", "table", "dl") and density[node] > MENU_DENSITY
+        linked[node] = linked[page.parent[node]] or own
+        menu[node] = menu[page.parent[node]] or own and page.text[node] < RUN_CHARS * parts[node]
 
     for node, text, links in page.runs:
-        if len(text) < RUN_CHARS or menu[node]:
+        if len(text) < RUN_CHARS or linked[node]:
             continue
-        points = (1 + text.count(",") + min(len(text) / 100, LENGTH_POINTS)) * (1 - links / len(text))
+        points = _points(text, links)
         up = page.parent[node] if page.tag[node] in ("p", "pre", "blockquote", "li", "dd", "td") or page.tag[node] in HEADINGS else node
         for level in range(ANCESTORS):
             if up < 0:
@@ -175,7 +246,11 @@ def main_text(source: str | None) -> str:
     inside = [False] * n
     for node in range(n):
         inside[node] = node in chosen or node > 0 and inside[page.parent[node]]
-    return "\n\n".join(text for node, text, _ in page.runs if inside[node] and not menu[node])
+    # what the siblings' parent says itself between the first and the last of them
+    at = [k for k, (node, _, _) in enumerate(page.runs) if inside[node]]
+    around = page.parent[min(chosen)]
+    between = lambda k, node: node == around and at and at[0] < k < at[-1]
+    return "\n\n".join(text for k, (node, text, _) in enumerate(page.runs) if (inside[node] or between(k, node)) and not menu[node])
 
 
 def _widen(page: _Page, best: int, final: list[float]) -> set[int]:
@@ -198,7 +273,8 @@ def _widen(page: _Page, best: int, final: list[float]) -> set[int]:
             long = page.tag[node] in ("p", "pre", "blockquote") and page.text[node] >= RUN_CHARS and page.links[node] * 4 < page.text[node]
             if final[node] >= limit or long or page.tag[node] in HEADINGS and node < top:
                 chosen.add(node)
-    return chosen
+    first, last = min(chosen), max(chosen)
+    return chosen | {i for i in range(first, last) if page.parent[i] == page.parent[top]}
 
 
 def extract(pages: DataFrame) -> DataFrame:

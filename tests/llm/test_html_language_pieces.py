@@ -155,3 +155,25 @@ def test_query_gives_the_ids_of_the_library(spark):
     texts = {r.doc_id: r.text or "" for r in table(spark, DATA, "documents").collect()}
     got = {r.doc_id: r.ids for r in queries.QUERIES["op6_sentencepiece"](spark, DATA).collect()}
     assert got == dict(zip(texts, library.encode(list(texts.values())), strict=True))
+
+
+LINKS = "<ul><li><a href=1>A report of the commission on inland waters, 2019</a><li><a href=2>Minutes of the second meeting on the same</a></ul>"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        *[(f"<body><div class='{c}'><article><p>{A}</p></article></div></body>", A) for c in ("content has-sidebar", "no-sidebar", "elementor-widget-container", "social-enabled", "widget", "sidebarWrapper")],
+        (f"<body><div class='content has-sidebar'><p>{A}</p><p>{B}</p></div></body>", f"{A}\n\n{B}"),
+        (f"<body><div class='widget'><p>{A}</p><p>{B}</p></div><div class='site-sidebar'><p>{B}</p></div></body>", f"{A}\n\n{B}"),
+        (f"<article class='post comments-open'><p>{A}</p></article><div id=comments><article class=comment-body><p>{B}</p><p>{B}</p></article></div>", A),
+        (f"<div id=page><p>{A}</p></div><div class=related><article><p>{B}</p><p>{B}</p></article></div>", A),
+        (f"<article><p>{A} <svg-icon name=x></svg-icon> end</p><title-bar>x</title-bar><svg width=1 /><p>{B}</p></article>", f"{A} end\n\nx\n\n{B}"),
+        (f"<article><p>{A}<script>var x</script > end</p></article>", f"{A} end"),
+        (f"<article><p>{A}</p>{LINKS}</article>", f"{A}\n\nA report of the commission on inland waters, 2019\n\nMinutes of the second meeting on the same"),
+        (f"<body><div id=x><p>{A}</p><div>Short one.</div>Bare words<div class=ad>buy</div><p>{B}</p></div></body>", f"{A}\n\nShort one.\n\nBare words\n\n{B}"),
+        (f"<body><p>{A}</p><div>Short one.</div>Bare words<div class=ad>buy</div><p>{B}</p></body>", f"{A}\n\nShort one.\n\nBare words\n\n{B}"),
+    ],
+)
+def test_article_text_is_not_lost(page, text):
+    assert htmltext.main_text(page) == text
