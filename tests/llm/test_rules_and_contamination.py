@@ -154,3 +154,12 @@ def test_spans_are_cut_out(spark):
     docs = frame(spark, ["Start here: " + ", ".join(P[:13]) + ". The End!", None, "clean"])
     got = {r.doc_id: r.text for r in decontaminate.remove_spans(docs, bench(spark)).collect()}
     assert got == {0: "Start here: The End!", 1: None, 2: "clean"}
+
+
+def test_hosts_on_both_sides_of_the_bound(spark):
+    rows = [(h, 10, 50 if i < failed else 0) for h, failed in (("under", 75), ("over", 85), ("good", 2)) for i in range(100)]
+    measures = spark.createDataFrame([(h, 100, 500, s, n, 0, 0) for h, n, s in rows], "source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+    rates = {r["host"]: r["rate"] for r in quality.host_rates(measures).where("rule = 'symbols'").collect()}
+    assert 0.5 < rates["under"] < 0.8 < rates["over"] < 0.9
+    assert [r["_host"] for r in quality.bad_hosts(measures).collect()] == ["over"]
+    assert sorted(r["_host"] for r in quality.bad_hosts(measures, max_rate=0.5).collect()) == ["over", "under"]
