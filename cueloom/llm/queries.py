@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontaminate, htmltext, language, lengths, licenses, neardup, quality, sharding, spm, tokenfile
+from cueloom.llm import decontaminate, htmltext, language, lengths, licenses, neardup, quality, sharding, spm, tokenfile, vectors
 from cueloom.llm.common import small_batches
 from cueloom.session import ship_package
 
@@ -211,3 +211,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_sentencepiece")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.encode_merges(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model")).drop("text")
+
+
+#: Every pair of usable vectors by its cosine; then reachability over the links.
+VECTORS_SQL = r"""
+WITH RECURSIVE u AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id < b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(a, b) AS (SELECT vec_id, vec_id FROM u UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM e GROUP BY a)
+SELECT m.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component_id, m.vec_id) AS component_id, m.vec_id = coalesce(component_id, m.vec_id) AS kept
+FROM embeddings m LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+
+@query("op11_near_vectors", VECTORS_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
