@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontaminate, htmltext, language, lengths, licenses, neardup, quality, sharding, spm, tokenfile, vectors
+from cueloom.llm import decontaminate, htmltext, language, lengths, licenses, neardup, quality, sharding, spelling, spm, tokenfile, vectors
 from cueloom.llm.common import small_batches
 from cueloom.session import ship_package
 
@@ -231,3 +231,31 @@ FROM embeddings m LEFT JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 @query("op11_near_vectors", VECTORS_SQL)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: crc32 of `<doc_id>:<run>` byte by byte, once per distinct pair; near words by equal strings after one deletion.
+SPELLING_SQL = r"""
+WITH RECURSIVE tbl AS (SELECT list(c ORDER BY b) AS tab FROM (
+    SELECT b, list_reduce(list_prepend(b, range(8)::BIGINT[]), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM (SELECT unnest(range(256)) AS b))),
+r AS (SELECT doc_id, run, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)), '..'), lambda x: ('0x' || x)::BIGINT)),
+      lambda a, b: xor(a // 256, tab[xor(a & 255, b) + 1])), 4294967295) AS h FROM r, tbl),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT k, CASE WHEN h % 199 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+d AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word
+  UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+b AS (SELECT word, count(*) AS n_near, min({'m': -near_n, 'near': near}) AS best FROM p GROUP BY word),
+f AS (SELECT w.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.m >= 5 * n THEN best.near END AS form, CASE WHEN -best.m >= 5 * n THEN -best.m END AS form_n FROM w LEFT JOIN b USING (word)),
+chain(word, tip, form) AS (SELECT word, word, form FROM f UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN f ON c.form = f.word)
+SELECT f.word, f.form, chain.tip AS root, f.n, f.n_near, f.form_n::BIGINT AS form_n FROM f JOIN chain ON f.word = chain.word AND chain.form IS NULL
+"""
+
+
+@query("op12_spelling_variants", SPELLING_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
