@@ -325,7 +325,7 @@ def _cell_links(keyed: DataFrame, named: DataFrame, groups: DataFrame, limit: fl
     singles = keyed.join(named, "vec_id", "left_anti").select(F.col("vec_id").alias("core"), F.transform("v", lambda x: x.cast("double")).alias("v"), F.lit(0.0).alias("radius"))
     pivots = singles.unionByName(groups.select("core", F.col("pivot").alias("v"), F.greatest("radius", F.lit(1e-9)).alias("radius")))
     placed = entries.join(live, "bucket").join(pivots, "core").withColumn("block", F.pmod(F.xxhash64("core"), F.col("blocks")))
-    boxes = stored(placed.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("core", "home", "radius", "v")).alias("items")), "lz4")
+    boxes = stored(placed.repartition("bucket", "block").groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("core", "home", "radius", "v")).alias("items")), "lz4")
     inner = boxes.where(F.size("items") > 1).select("bucket", "items").mapInArrow(_within(limit), _FOUND)
     crowded = boxes.where("blocks > 1")
     pairs = crowded.where(F.col("block") + 1 < F.col("blocks")).select("bucket", "block", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("other"))
@@ -345,9 +345,10 @@ def _core_links(touching: DataFrame, keyed: DataFrame, named: DataFrame, groups:
 
     def boxes(side: DataFrame, name: str) -> DataFrame:
         # hashed, so a box has about BLOCK vectors whatever the size of the core
-        counts = side.groupBy("big").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_k"))
+        counts = small_side(stored(side.groupBy("big").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_k"))))
         placed = side.join(counts, "big").withColumn(f"{name}_box", F.pmod(F.xxhash64("vec_id"), F.col("_k")))
-        return stored(placed.groupBy("big", f"{name}_box").agg(F.collect_list(F.struct("vec_id", "core", "v")).alias(name)), "lz4")
+        # dealt out by box: a partitioning by core alone would do for the grouping, with one task for a large core
+        return stored(placed.repartition("big", f"{name}_box").groupBy("big", f"{name}_box").agg(F.collect_list(F.struct("vec_id", "core", "v")).alias(name)), "lz4")
 
     small = boxes(members.join(sided, "core").select("big", "vec_id", "core", "v"), "few")
     large = boxes(members.join(sided.select("big").distinct(), F.col("core") == F.col("big")).select("big", "vec_id", "core", "v"), "many")
