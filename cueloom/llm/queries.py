@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import decontaminate, htmltext, language, lengths, licenses, neardup, quality, sharding, spelling, spm, tokenfile, vectors
+from cueloom.llm import alignment, decontaminate, htmltext, language, lengths, licenses, neardup, quality, sharding, spelling, spm, tokenfile, vectors
 from cueloom.llm.common import small_batches
 from cueloom.session import ship_package
 
@@ -259,3 +259,8 @@ SELECT f.word, f.form, chain.tip AS root, f.n, f.n_near, f.form_n::BIGINT AS for
 @query("op12_spelling_variants", SPELLING_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
