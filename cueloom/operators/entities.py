@@ -74,16 +74,29 @@ def apply_phrases(lines: DataFrame, phrases: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- placeholders
 
-def assign_placeholders(forms: DataFrame, key: str = "series") -> DataFrame:
-    """``X`` plus two letters per case-folded form, in order of first sight.
+#: Letters of the third and later places of a code. Every case suffix has a vowel, so no code with a suffix is another code.
+TAIL_LETTERS = "bcdfghjklmnpqrstvwxz"
+TAIL_PLACES = 8
+
 
-    The code space has 676 placeholders per key; a key with more forms is refused, never cut.
+def placeholder_code(k: Column) -> Column:
+    """``X`` plus two letters for the first 676 numbers; each later round of 676 adds the next tail.
+
+    Tails are the numerals ``b, c, ..., z, bb, bc, ...`` of base 20 without a zero, so codes have no bound.
     """
+    n, base = F.floor(k / 676), len(TAIL_LETTERS)
+    ahead = [(base**i - 1) // (base - 1) for i in range(TAIL_PLACES)]  # numerals shorter than i + 1 places
+    left = [F.floor((n - ahead[i]) / base**i) for i in range(TAIL_PLACES)]
+    places = [F.when(m >= 1, F.substring(F.lit(TAIL_LETTERS), ((m - 1) % base + 1).cast("int"), F.lit(1))).otherwise("") for m in left]
+    return F.concat(F.lit("X"), F.char(97 + F.floor((k % 676) / 26)), F.char(97 + k % 26), *reversed(places))
+
+
+def assign_placeholders(forms: DataFrame, key: str = "series") -> DataFrame:
+    """A placeholder per key and case-folded form, in order of first sight; any number of forms."""
     d = forms.withColumn("_f", X.casefold("form"))
     first = d.groupBy(key, "_f").agg(F.min_by(F.struct(*forms.columns), "form_order").alias("_r")).select("_r.*")
     d = scan(first, [key], "form_order", {"_k": ("count", F.lit(1))})
-    over = F.raise_error(F.concat(F.lit("more than 676 forms for "), F.col(key).cast("string")))
-    return d.withColumn("placeholder", F.when(F.col("_k") >= 676, over).otherwise(F.concat(F.lit("X"), F.char(97 + F.floor(F.col("_k") / 26)), F.char(97 + F.col("_k") % 26)))).drop("_k")
+    return d.withColumn("placeholder", placeholder_code(F.col("_k"))).drop("_k")
 
 
 def turkish_suffixes(form: Column) -> Column:
@@ -106,8 +119,8 @@ def _bounded(form: Column) -> Column:
     return F.concat(F.lit(f"(?<!{WORD})\\Q"), form, F.lit(f"\\E(?!{WORD})"))
 
 
-def glossary_rows(glossary: DataFrame, key: str = "series") -> DataFrame:
-    """One row per series: its forms with prepared patterns, in glossary order."""
+def glossary_entries(glossary: DataFrame, key: str = "series") -> DataFrame:
+    """One row per series and form: the form with prepared patterns as ``e``."""
     flag = F.when(F.coalesce("case_sensitive", F.lit(False)), "").otherwise("(?iu)")
     suffix = F.when(F.coalesce("turkish_case_suffixes", F.lit(False)), turkish_suffixes(F.col("form")))
     tail = F.concat(F.lit("(?="), suffix, F.lit(f"(?!{TURKISH_LOWER}))"))
@@ -117,21 +130,69 @@ def glossary_rows(glossary: DataFrame, key: str = "series") -> DataFrame:
         F.concat(F.lit("(?iu)"), _bounded(F.col("placeholder"))).alias("find_ph"), F.concat(F.lit(f"(?iu)(?<!{WORD})\\Q"), "placeholder", F.lit("\\E"), tail).alias("find_ph_suffixed"),
         F.concat(F.lit("(?iu)"), _bounded(F.col("canonical"))).alias("find_canonical"), F.regexp_replace("canonical", r"([\\$])", r"\\$1").alias("put"),
     )
-    return glossary.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_g"))
+    return glossary.select(key, item.alias("e"))
+
+
+#: Longest part of a case suffix that may continue a run of word characters.
+SUFFIX_CHARS = 3
+
+
+def _runs(text: Column) -> Column:
+    """Runs of word characters, lower case."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"{WORD}+"), F.lit(0)), F.lower)
+
+
+def _signs(text: Column) -> Column:
+    """Distinct characters outside of words, for forms without any word character."""
+    return F.array_remove(F.array_distinct(F.split(F.regexp_replace(F.lower(text), f"{WORD}|\\s", ""), "")), "")
+
+
+def glossary_keys(entries: DataFrame, key: str = "series") -> DataFrame:
+    """(key, kind, token, e): the token under which a line meets an entry.
+
+    A form in a line has its runs of word characters as whole runs of the line (its last run perhaps
+    with a suffix behind it), so one run will do: the one that the fewest forms of the series have,
+    the longest of these; a form without word characters has its first character. Kind 1 is a run that a
+    suffix may follow. Placeholders are entered like forms of one run.
+    """
+    own = entries.select(key, "e", _runs(F.col("e.form")).alias("_r"))
+    each = own.where(F.size("_r") > 0).select(key, "e", F.size("_r").alias("_n"), F.posexplode("_r").alias("_at", "token"))
+    common = each.groupBy(key, "token").agg(F.count(F.lit(1)).alias("_c"))
+    rare = F.min(F.struct("_c", (-F.length("token")).alias("_l"), "_at", "token", (F.col("_at") == F.col("_n") - 1).alias("_last")))
+    ends = F.col("e.form").rlike(f"{WORD}$")
+    picked = each.join(common, [key, "token"]).groupBy(key, "e").agg(rare.alias("_p"))
+    forms = picked.select(key, F.when(F.col("e.find_suffixed").isNotNull() & F.col("_p._last") & ends, 1).otherwise(0).alias("kind"), F.col("_p.token").alias("token"), "e")
+    signs = own.where(F.size("_r") == 0).select(key, F.lit(0).alias("kind"), F.substring("e.probe", 1, 1).alias("token"), "e")
+    codes = entries.select(key, F.when(F.col("e.find_ph_suffixed").isNotNull(), 1).otherwise(0).alias("kind"), F.col("e.probe_ph").alias("token"), "e")
+    return forms.unionByName(signs).unionByName(codes)
 
 
 def with_glossary(lines: DataFrame, glossary: DataFrame, key: str = "series", texts: Sequence[str] = ("text",)) -> DataFrame:
-    """Lines with the glossary entries that any of ``texts`` mentions, as ``_g``.
+    """Lines with the glossary entries that any of ``texts`` mentions, as ``_g``, in glossary order.
 
-    The series' glossary meets a line once and is cut down to the entries whose
-    form or placeholder the line contains, so later steps carry only a few.
+    Tokens of a line meet the entries' tokens by equality, so the work follows the mentions and not lines times
+    forms, and no line ever carries a glossary. Entries are found once per distinct text of a series and come
+    back to the lines by its hash. Forms are matched as before by their patterns; those only see entries found here.
     """
-    rows = glossary_rows(glossary, key)
-    none = F.array().cast(rows.schema["_g"].dataType)
-    hay = once(F.lower(F.concat_ws("\n", *texts))).alias("_hay")
-    j = lines.select("*", hay).join(rows.withColumnRenamed("_g", "_all"), key, "left")
-    mine = F.filter(F.coalesce("_all", none), lambda e: F.contains("_hay", e["probe"]) | F.contains("_hay", e["probe_ph"]))
-    return j.select(*lines.columns, once(mine).alias("_g"))
+    entries = glossary_entries(glossary, key)
+    met = glossary_keys(entries, key)
+    none = F.array().cast(f"array<{entries.schema['e'].dataType.simpleString()}>")
+    d = lines.withColumn("_hay", F.concat_ws("\n", *texts)).withColumn("_id", F.md5("_hay"))
+    found = None
+    for kind, tokens in ((0, F.concat(_runs(F.col("_hay")), _signs(F.col("_hay")))), (1, _prefixes(_runs(F.col("_hay"))))):
+        part = d.select(key, "_id", F.explode(F.array_distinct(tokens)).alias("token"))
+        part = part.join(met.where(F.col("kind") == kind).drop("kind"), [key, "token"]).select(key, "_id", "e")
+        found = part if found is None else found.unionByName(part)
+    gathered = found.groupBy(key, "_id").agg(F.array_sort(F.collect_set("e")).alias("_all"))
+    hay = F.lower("_hay")
+    mine = F.filter(F.coalesce("_all", none), lambda e: F.contains(hay, e["probe"]) | F.contains(hay, e["probe_ph"]))
+    return d.join(gathered, [key, "_id"], "left").select(*lines.columns, once(mine).alias("_g"))
+
+
+def _prefixes(runs: Column) -> Column:
+    """Runs, whole and without what may be a suffix."""
+    cut = lambda r: F.transform(F.sequence(F.lit(0), F.lit(SUFFIX_CHARS)), lambda n: F.left(r, F.length(r) - n))
+    return F.array_remove(F.array_distinct(F.flatten(F.transform(runs, cut))), "")
 
 
 def protected_lines(lines: DataFrame, text: str = "text", out: str = "protected") -> DataFrame:
@@ -166,12 +227,12 @@ def restore(text: str | Column) -> Column:
 
 def repair_placeholders(candidate: Column, source: Column) -> Column:
     """Mistyped placeholders that are one letter from exactly one active placeholder."""
-    shape = F.lit(f"(?<!{WORD})X[a-z]{{2}}(?!{WORD})")
+    shape = F.lit(f"(?<!{WORD})X[a-z]{{2}}[{TAIL_LETTERS}]*(?!{WORD})")
     active = F.array_distinct(F.regexp_extract_all(source, shape, F.lit(0)))
     wrong = F.array_except(F.regexp_extract_all(candidate, shape, F.lit(0)), active)
 
     def fix(t: Column, bad: Column) -> Column:
-        near = F.filter(active, lambda p: F.levenshtein(p, bad) <= 1)
+        near = F.filter(active, lambda p: (F.length(p) == F.length(bad)) & (F.levenshtein(p, bad) <= 1))
         return F.when(F.size(near) == 1, F.regexp_replace(t, _bounded(bad), F.get(near, F.lit(0)))).otherwise(t)
 
     return F.when(F.size(active) > 0, F.aggregate(wrong, candidate, fix)).otherwise(candidate)
