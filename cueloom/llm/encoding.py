@@ -3,7 +3,8 @@
 The pre-tokenizer of such vocabularies opens a new piece at every space that a non-space follows, and
 at every line feed between two non-spaces, so a text is the concatenation of its units (its start,
 then ` word` by ` word`), and equal units have equal ids. A task encodes each unit once while its
-bounded cache holds it. Added tokens of the vocabulary (`<|endoftext|>`) cut a text before that: what
+bounded cache holds it; units are looked up and taken apart as Arrow columns, and the words that are new to
+a group go to the library as one text with a delimiter between them. Added tokens of the vocabulary (`<|endoftext|>`) cut a text before that: what
 lies between them is split as texts of their own, as the library does.
 """
 
@@ -13,17 +14,17 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Beyond so many units or ids a task's cache keeps only units met again: the bound of its memory (about 150 MB).
-CACHE_UNITS = 700_000
+#: Beyond so many units or ids a task's cache keeps only units met again: the bound of its memory (about 100 MB).
+CACHE_UNITS = 450_000
 CACHE_IDS = 12_000_000
 #: Characters handled at once; longer texts are taken in parts, cut before the space of a unit.
-GROUP = 1 << 21
+GROUP = 1 << 22
 
 _UNIT = re.compile(r" (?=\S)")
 _STARTS = re.compile(r"(?=(?: |(?<=\S)\n)\S)")
@@ -53,7 +54,11 @@ def parts_of(text: str, size: int = GROUP) -> Iterator[str]:
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {b: b for b in _KEPT} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _KEPT)}
 #: A word of letters with signs after it: one piece of letters and one of signs, by the pre-tokenizer's rule.
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,!?;:*#$%&|]*)")
+_WORD = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ɏ]+)(?P<signs>[.,!?;:*#$%&|]*)$"
+#: Stands between words that are encoded together: a line feed, which no word has.
+_BETWEEN = chr(_BYTES[10])
+#: Words of one text given to the library.
+JOINED = 4_096
 
 
 @lru_cache(2)
@@ -71,6 +76,7 @@ class UnitEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
@@ -78,37 +84,59 @@ class UnitEncoder:
             raise ValueError("only plain added tokens and no normalizer are known here")
         self.added = {t.content: i for i, t in added.items()}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or "(?!)")
-        # for a single piece the pre-tokenizer has nothing to split: bytes go in as the characters that stand for them
+        # bytes go in as the characters that stand for them; pieces end at the delimiter, so nothing else has to be split
         self.piece = Tokenizer.from_file(path)
-        self.piece.pre_tokenizer = None
+        self.piece.pre_tokenizer = Split(_BETWEEN, "isolated")
+        self.between = self.piece.token_to_id(_BETWEEN)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.count = 0
+        self.names: list[pa.Array] = [pa.array([], pa.string())]  # known units, in order
         self.tails: dict[str, np.ndarray] = {}
         self.ids = np.empty(1 << 20, self.dtype)
         self.ends = np.zeros(1 << 18, np.int64)  # unit i has ids[ends[i]:ends[i + 1]]
         self.met = np.zeros(1 << 18, np.int32)  # groups that had unit i
 
+    def _known(self) -> pa.Array:
+        if len(self.names) > 1:
+            self.names = [pa.concat_arrays(self.names)]
+        return self.names[0]
+
+    def _find(self, units: pa.Array) -> np.ndarray:
+        """Places of units in the cache, or -1."""
+        return pc.fill_null(pc.index_in(units, value_set=self._known()), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
     def _shrink(self) -> None:
         """Keep the units that more than one group had, or nothing if these are too many."""
-        names, ends, met, ids = list(self.known), self.ends, self.met, self.ids
-        keep = np.flatnonzero(met[: len(names)] > 1)
+        names, ends, met, ids, count = self._known(), self.ends, self.met, self.ids, self.count
+        keep = np.flatnonzero(met[:count] > 1)
         self._clear()
         if len(keep) <= CACHE_UNITS * self.share / 2:
             sizes = ends[keep + 1] - ends[keep]
             if sizes.sum() <= CACHE_IDS * self.share / 2:
-                self._add([names[i] for i in keep.tolist()], ids[_ragged(ends[keep], sizes)], sizes)
+                self._add(names.take(pa.array(keep)), ids[_ragged(ends[keep], sizes)], sizes)
                 self.met[: len(keep)] = 1
 
-    def _encode(self, texts: list[str], tokenizer=None) -> tuple[np.ndarray, np.ndarray]:
-        lists = [e.ids for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.fromiter(chain.from_iterable(lists), self.dtype), np.fromiter(map(len, lists), np.int64, len(lists))
 
-    def _add(self, units: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.known)
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number of words of letters, each with a space in front."""
+        texts = words.to_pylist()
+        if not pc.all(pc.string_is_ascii(words)).as_py():
+            texts = [w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in texts]
+        parts = [_BETWEEN.join(["Ġ" + w for w in texts[i : i + JOINED]]) + _BETWEEN for i in range(0, len(texts), JOINED)]
+        flat = np.concatenate([np.array(e.ids, self.dtype) for p in parts for e in self.piece.encode_batch_fast([p], add_special_tokens=False)])
+        ends = np.flatnonzero(flat == self.between)
+        return flat[flat != self.between], np.diff(ends, prepend=-1) - 1
+
+    def _add(self, units: pa.Array, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Put new units in the cache; their places."""
+        n = self.count
         if n + len(units) + 1 > len(self.ends):
             self.ends = np.resize(self.ends, 2 * (n + len(units) + 1))
             self.met = np.concatenate([self.met, np.zeros(len(self.ends) - len(self.met), np.int32)])
@@ -117,49 +145,65 @@ class UnitEncoder:
             self.ids = np.resize(self.ids, 2 * (at + len(flat)))
         self.ids[at : at + len(flat)] = flat
         self.ends[n + 1 : n + 1 + len(units)] = at + np.cumsum(sizes)
-        self.known.update(zip(units, range(n, n + len(units)), strict=True))
+        self.names.append(units)
+        self.count = n + len(units)
+        return np.arange(n, self.count)
 
     def _spell(self, units: list[str]) -> list[str]:
         return [u if u[:1] == "\n" else " " + u for u in units]
 
-    def _learn(self, units: list[str]) -> None:
-        whole, signed, words = [], [], {}
-        for unit in units:
-            if not (found := _WORD.fullmatch(unit)):
-                whole.append(unit)
-            elif found[2]:
-                signed.append((unit, found[1], found[2]))
-                words[found[1]] = None
-            else:
-                words[unit] = None
-        fresh = [w for w in words if w not in self.known]
-        self._add(fresh, *self._encode(["Ġ" + (w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)) for w in fresh], self.piece))
-        self._add(whole, *self._encode(self._spell(whole)))
-        for tail in {t for _, _, t in signed}.difference(self.tails):
-            self.tails[tail] = self._encode([tail])[0]
-        at = np.fromiter((self.known[w] for _, w, _ in signed), np.int64, len(signed))
-        tails = [self.tails[t] for _, _, t in signed]
-        heads, tail_sizes = self.ends[at + 1] - self.ends[at], np.fromiter(map(len, tails), np.int64, len(tails))
-        flat = np.empty(heads.sum() + tail_sizes.sum(), self.dtype)
-        begin = np.cumsum(heads + tail_sizes) - heads - tail_sizes
-        flat[_ragged(begin, heads)] = self.ids[_ragged(self.ends[at], heads)]
-        if tails:
-            flat[_ragged(begin + heads, tail_sizes)] = np.concatenate(tails)
-        self._add([u for u, _, _ in signed], flat, heads + tail_sizes)
+    def _learn(self, units: pa.Array) -> np.ndarray:
+        """Encode units that the cache does not hold; their places."""
+        places = np.empty(len(units), np.int64)
+        taken = pc.extract_regex(units, _WORD)
+        is_word = pc.is_valid(taken).to_numpy(zero_copy_only=False)
+        rest = np.flatnonzero(~is_word)
+        if len(rest):
+            whole = units.take(pa.array(rest))
+            places[rest] = self._add(whole, *self._encode(self._spell(whole.to_pylist())))
+        word, signs = pc.struct_field(taken, 0), pc.struct_field(taken, 1)
+        signed = np.flatnonzero(is_word & pc.fill_null(pc.not_equal(signs, ""), False).to_numpy(zero_copy_only=False))
+        plain = is_word.copy()
+        plain[signed] = False
+        bare = np.flatnonzero(plain)
+        heads = word.take(pa.array(signed)).dictionary_encode()
+        at = self._find(heads.dictionary) if len(signed) else np.zeros(0, np.int64)
+        lost = heads.dictionary.filter(pa.array(at < 0))
+        # words of this group, with and without signs, once each
+        fresh = pc.unique(pa.concat_arrays([units.take(pa.array(bare)), lost]))
+        if len(fresh):
+            first = self._add(fresh, *self._encode_words(fresh))[0]
+            places[bare] = first + np.arange(len(bare))  # distinct, so they stand first
+            if len(lost):
+                at[at < 0] = first + pc.index_in(lost, value_set=fresh).to_numpy(zero_copy_only=False)
+        if len(signed):
+            at = at[heads.indices.to_numpy(zero_copy_only=False)]
+            coded = signs.take(pa.array(signed)).dictionary_encode()
+            names = coded.dictionary.to_pylist()
+            for tail in set(names).difference(self.tails):
+                self.tails[tail] = self._encode([tail])[0]
+            tails = [self.tails[t] for t in names]
+            length = np.fromiter(map(len, tails), np.int64, len(tails))
+            which = coded.indices.to_numpy(zero_copy_only=False)
+            heads_n, tails_n = self.ends[at + 1] - self.ends[at], length[which]
+            flat = np.empty(heads_n.sum() + tails_n.sum(), self.dtype)
+            begin = np.cumsum(heads_n + tails_n) - heads_n - tails_n
+            flat[_ragged(begin, heads_n)] = self.ids[_ragged(self.ends[at], heads_n)]
+            flat[_ragged(begin + heads_n, tails_n)] = np.concatenate(tails)[_ragged((np.cumsum(length) - length)[which], tails_n)]
+            places[signed] = self._add(units.take(pa.array(signed)), flat, heads_n + tails_n)
+        return places
 
     def _slots(self, units: pa.Array) -> np.ndarray:
         coded = units.dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        slots = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        names = coded.dictionary
+        slots = self._find(names)
         fresh = np.flatnonzero(slots < 0)
-        if len(self.known) + len(fresh) > CACHE_UNITS * self.share or self.ends[len(self.known)] > CACHE_IDS * self.share:
+        if self.count + len(fresh) > CACHE_UNITS * self.share or self.ends[self.count] > CACHE_IDS * self.share:
             self._shrink()
-            slots = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+            slots = self._find(names)
             fresh = np.flatnonzero(slots < 0)
         if len(fresh):
-            new = [names[i] for i in fresh.tolist()]
-            self._learn(new)
-            slots[fresh] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+            slots[fresh] = self._learn(names.take(pa.array(fresh)))
         self.met[slots] += 1
         return slots[coded.indices.to_numpy(zero_copy_only=False)]
 

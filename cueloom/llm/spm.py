@@ -253,9 +253,9 @@ class PieceEncoder(UnitEncoder):
         """Ids of units, flat, and their number."""
         return self.model.best_cuts(units)
 
-    def _learn(self, units: list[str]) -> None:
-        flat, sizes = self._cuts([u if u[:1] == "\n" else SPACE + u for u in units])
-        self._add(units, flat.astype(self.dtype), sizes)
+    def _learn(self, units: pa.Array) -> np.ndarray:
+        flat, sizes = self._cuts([u if u[:1] == "\n" else SPACE + u for u in units.to_pylist()])
+        return self._add(units, flat.astype(self.dtype), sizes)
 
     def _group(self, texts: pa.Array, tail: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         split = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
