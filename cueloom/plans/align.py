@@ -1,4 +1,4 @@
-"""Rows that need a fold or a matcher: checked by tests, not by SQL text."""
+"""Rows that need a fold or a matcher: checked by tests, and by SQL text where recursion can say the fold."""
 
 from pyspark.sql import functions as F
 
@@ -8,9 +8,30 @@ from cueloom.operators import layout as L
 from cueloom.operators import segment as S
 from cueloom.plans.compare import WIN, name_keys, tokens, windows
 from cueloom.plans.registry import query
+from cueloom.plans.segment import END
 
 
-@query("d1_acoustic_groups")
+#: Follow `nxt`, the row that opens the next group if this one opens one, from every hard break.
+FOLLOW = "g AS (SELECT media_id, i FROM n WHERE hard UNION ALL SELECT n.media_id, n.nxt FROM g JOIN n ON n.media_id = g.media_id AND n.i = g.i WHERE n.nxt IS NOT NULL)"
+
+
+def closed_by(rows: str, over: str, ahead: int) -> str:
+    """`n`: per row the first later one that closes its group, none beyond the next hard break; a group has fewer than `ahead` rows."""
+    return f"""h AS (SELECT *, coalesce(min(CASE WHEN hard THEN i END) OVER (PARTITION BY media_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 9e15::BIGINT) AS stop FROM {rows}),
+n AS (SELECT a.media_id, a.i, a.hard, min(b.i) AS nxt FROM (SELECT *, unnest(range(i + 1, least(i + {ahead}, stop)::BIGINT)) AS k FROM h UNION ALL SELECT *, NULL FROM h) a LEFT JOIN h b ON b.media_id = a.media_id AND b.i = a.k AND {over} GROUP BY ALL)"""
+
+
+TURNS = r"""tw AS (SELECT *, regexp_matches(text, '[.!?…][''"»)\]]*$') AS e, regexp_matches(text, '\?[''"»)\]]*$') AS q, lead(start_ms) OVER (PARTITION BY media_id ORDER BY word_idx) AS nxt, max(word_idx) OVER (PARTITION BY media_id) AS last FROM fx_words),
+te AS (SELECT *, coalesce(lead(word_idx) OVER (PARTITION BY media_id ORDER BY word_idx), last) - word_idx AS reply FROM tw WHERE e),
+turns AS (SELECT media_id, word_idx + 1 AS i FROM te WHERE nxt IS NOT NULL AND (nxt - end_ms >= 600 OR (nxt - end_ms >= 150 AND (q OR reply <= 2))))"""
+
+
+@query("d1_acoustic_groups", f"""WITH RECURSIVE {TURNS},
+r AS (SELECT w.media_id, word_idx AS i, start_ms, end_ms, lag(end_ms) OVER (PARTITION BY w.media_id ORDER BY word_idx) AS pe, t.i IS NOT NULL AS turn FROM fx_words w LEFT JOIN turns t ON t.media_id = w.media_id AND t.i = w.word_idx),
+rows1 AS (SELECT *, pe IS NULL OR start_ms - pe > 800 OR turn AS hard FROM r),
+{closed_by("rows1", "b.end_ms - a.start_ms > 7000", 40)}, {FOLLOW},
+o AS (SELECT r.*, lag(r.start_ms) OVER (PARTITION BY media_id ORDER BY i) AS opened FROM r JOIN g USING (media_id, i))
+SELECT media_id, i AS word_idx, CASE WHEN pe IS NULL THEN 'start' WHEN start_ms - pe > 800 THEN 'real_acoustic_gap' WHEN end_ms - opened > 7000 THEN 'max_duration' ELSE 'utterance_end' END AS reason FROM o""")
 def _(fx):
     return L.acoustic_groups(fx.words, S.heuristic_turns(fx.words))
 
@@ -37,12 +58,23 @@ def _(fx):
     return L.build_cues(fx.words).withColumn("lines", F.array_join("lines", "|"))
 
 
-@query("d10_context_spans")
+#: Spans of cues with the same boundaries, from hard breaks and caps of six cues and 300 characters.
+SPANS = f"""bc AS (SELECT *, (media_id + cue_idx) % 6 AS k, CASE WHEN k = 0 THEN 'real' WHEN k <= 2 THEN 'sentence' ELSE 'display' END AS b FROM fx_cues),
+lc AS (SELECT media_id, cue_idx AS i, start_ms, end_ms, b, length(text) AS chars, lag(end_ms) OVER w AS pe, lag(regexp_matches(trim(text), '{END}')) OVER w AS ended FROM bc WINDOW w AS (PARTITION BY media_id ORDER BY cue_idx)),
+rows1 AS (SELECT *, pe IS NULL OR b = 'real' OR start_ms - pe > 2500 OR ended AS hard, sum(chars + 1) OVER (PARTITION BY media_id ORDER BY i) - chars - 1 AS held FROM lc),
+{closed_by("rows1", "(b.i - a.i >= 6 OR b.held - a.held >= 300)", 8)}, {FOLLOW}"""
+
+
+@query("d10_context_spans", f"WITH RECURSIVE {SPANS} SELECT media_id, i AS cue_idx FROM g")
 def _(fx):
     return L.context_spans(bounded(fx))
 
 
-@query("d11_merge_groups")
+@query("d11_merge_groups", f"""WITH RECURSIVE {SPANS},
+rows2 AS (SELECT lc.media_id, lc.i, start_ms, end_ms, pe IS NULL OR b <> 'display' OR g.i IS NOT NULL AS hard FROM lc LEFT JOIN g ON g.media_id = lc.media_id AND g.i = lc.i),
+{closed_by("rows2", "b.end_ms - a.start_ms > 7000", 40).replace("h AS", "h2 AS").replace("FROM h)", "FROM h2)").replace("FROM h UNION", "FROM h2 UNION").replace("JOIN h b", "JOIN h2 b").replace("n AS (", "n2 AS (", 1)},
+g2 AS (SELECT media_id, i FROM n2 WHERE hard UNION ALL SELECT n2.media_id, n2.nxt FROM g2 JOIN n2 ON n2.media_id = g2.media_id AND n2.i = g2.i WHERE n2.nxt IS NOT NULL)
+SELECT media_id, i AS cue_idx FROM g2""")
 def _(fx):
     b = bounded(fx)
     return L.merge_groups(b, L.context_spans(b))

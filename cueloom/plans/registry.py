@@ -37,6 +37,8 @@ def with_views(sql: str) -> str:
         return sql
     views = ",\n".join(f"{n} AS ({SQL_VIEWS[n].strip()})" for n in used)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {views},\n{body[5:]}"
     return f"WITH {views}\n{body}"
