@@ -1,31 +1,29 @@
-"""SentencePiece encoding and decoding, by merge order or by a max-plus scan over piece scores.
-
-`encode_merges` gives the library's ids of a byte-pair model: each unit (below) is merged in the order of
-the file. Chunks of long documents end where no piece holds the two characters that meet, so nothing is
-merged across and the ids are those of the whole text; a stretch without such a place stays in one chunk.
-
-`encode` takes the greatest sum of scores instead, which for a byte-pair model gives other ids. A text is
-normalised as the model says (a dummy space in front, spaces as U+2581) and cut into the
-pieces with the greatest sum of scores, characters without a piece as their bytes. No piece has a
-U+2581 after another character, nor a line feed, so a text falls into units that are cut on their own;
-a task solves the units it has not met in lockstep, one vector operation per position and piece length.
-
-A document longer than CHUNK is split into chunks of any place, also inside a unit. The state at a
-boundary is how far the last piece reaches into the next chunk. Each chunk yields the matrix of best
-scores from entry to exit state, matrices are combined associatively (max-plus products of blocks of
-chunks, then of blocks), the best states follow from prefix and suffix vectors, and each chunk is
-then cut on its own between its two states. Scores are integers here, so sums are exact.
-
-Defined results: null and empty texts have no pieces; equal scores take the longest last piece (at a
-chunk boundary the least state); U+2581 in a text decodes as a space, as in the library; repeated rows
-are encoded one by one; an empty table gives no rows.
+"""SentencePiece encoding and decoding of a byte-pair model, giant documents by a max-plus scan over chunks.
+
+A text is normalised as the model says: a dummy space in front, spaces as U+2581. No piece has a U+2581 after
+another character, nor a line feed, so a text falls into units that are cut on their own; the library encodes
+each unit once while a task's bounded cache holds it.
+
+A document longer than CHUNK is split into chunks at any place, also inside a unit. What makes a cut the library's
+one, though its merges have an order, can be said of neighbours alone: two neighbouring pieces, joined, have to
+encode to just these two. Such a pair weighs 0, any other minus infinity, and the best sum is 0 for exactly one
+cut (the tests hold this against the library on random and tie-rich strings). The state at a boundary between
+chunks is the piece that ends at it or reaches over it. A chunk yields the matrix of best sums from its entry to
+its exit states, matrices are combined associatively (max-plus products of blocks of chunks, then of blocks),
+prefix and suffix vectors give the state at every boundary, and each chunk is then traced back on its own between
+its two states. An endless run without spaces is cut like any other text. A character without a piece of its own
+is a state as well; it becomes its bytes.
+
+Defined results: null and empty texts have no pieces; U+2581 in a text decodes as a space, as in the library;
+ties between merges fall as in the library; repeated rows are encoded one by one; an empty table gives no rows.
+Columns named n_tokens, ids or round_trip are replaced, all other columns are kept whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -42,8 +40,8 @@ SPACE = "▁"
 CHUNK = 1 << 16
 #: Chunks whose matrices are combined into one block by a task.
 BLOCK = 256
-#: Positions (units by their longest) that are solved in lockstep at once.
-LOCKSTEP = 1 << 18
+#: Pairs of pieces whose neighbourhood a task remembers.
+PAIRS = 1 << 18
 NONE = -(1 << 58)
 
 _PIECES = re.compile("▁+[^▁\n]*|\n[^▁\n]*|^[^▁\n]+")
@@ -51,7 +49,7 @@ _ODD = "  |^ | $|▁| \n|\n "
 
 
 class Model:
-    """Pieces, scores and byte pieces of a model file, with a hash table from piece to id."""
+    """Pieces and byte pieces of a model file, and which pieces may stand side by side."""
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -64,11 +62,9 @@ class Model:
             raise ValueError("only identity normalisation with a dummy prefix is known here")
         kind = model.SentencePiece.Type
         self.pieces = [p.piece for p in model.pieces]
-        normal = [i for i, p in enumerate(model.pieces) if p.type in (kind.NORMAL, kind.USER_DEFINED)]
-        self.scores = np.array([round(p.score) for p in model.pieces], np.int64)
-        if any(p.score != round(p.score) for p in model.pieces):
-            raise ValueError("scores are expected to be integers")
-        self.unknown = int(self.scores[normal].min()) - 10
+        normal = [i for i, p in enumerate(model.pieces) if p.type == kind.NORMAL]
+        if model.trainer_spec.model_type != model.trainer_spec.BPE or any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in model.pieces):
+            raise ValueError("a byte-pair model without user-defined or unused pieces is expected")
         self.byte_ids = np.array([i for i, p in enumerate(model.pieces) if p.type == kind.BYTE], np.int64)
         if len(self.byte_ids) != 256:
             raise ValueError("a model with byte pieces is expected")
@@ -80,158 +76,82 @@ class Model:
         self.raw_sizes = np.array([len(x) for x in raw], np.int64)
         self.raw_starts = np.cumsum(self.raw_sizes) - self.raw_sizes
         self.ids = {self.pieces[i]: i for i in normal}
-        self._table(normal)
-
-    def _table(self, normal: list[int]) -> None:
-        """Open addressing over polynomial hashes of the pieces."""
-        self.base = np.uint64(0x9E3779B97F4A7C15)
-        self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(self.longest, self.base)]), dtype=np.uint64)
-        hashes = np.zeros(len(normal), np.uint64)
-        for k, i in enumerate(normal):
-            h = np.zeros(1, np.uint64)
-            for c in self.pieces[i]:
-                h = h * self.base + np.uint64(ord(c) + 1)
-            hashes[k] = h[0]
-        assert len(np.unique(hashes)) == len(hashes)
-        self.bits = 20
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.values = np.full(1 << self.bits, -1, np.int32)
-        self.probes = 1
-        for h, i in zip(hashes, normal, strict=True):
-            at = int(self._slot(h[None])[0])
-            for step in range(64):
-                place = (at + step) & ((1 << self.bits) - 1)
-                if self.values[place] < 0:
-                    self.keys[place], self.values[place] = h, i
-                    self.probes = max(self.probes, step + 1)
-                    break
-
-    def _slot(self, h: np.ndarray) -> np.ndarray:
-        return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Ids of pieces with these hashes, or -1."""
-        at = self._slot(h)
-        out = np.where(self.keys[at] == h, self.values[at], -1)
-        for step in range(1, self.probes):
-            place = (at + step) & ((1 << self.bits) - 1)
-            out = np.where((out < 0) & (self.keys[place] == h), self.values[place], out)
-        return out
-
-    def best_cuts(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the best pieces of each unit, flat, and their number; bytes for characters without a piece."""
-        sizes = np.array([len(u) for u in units], np.int64)
-        out: list[np.ndarray] = [None] * len(units)  # type: ignore[list-item]
-        order = np.argsort(sizes, kind="stable")
-        at = 0
-        while at < len(order):
-            width = int(sizes[order[at]])
-            top = max(8, 1 << (width - 1).bit_length())
-            end = int(np.searchsorted(sizes[order], top, "right"))
-            end = min(end, at + max(1, LOCKSTEP // top))
-            rows = order[at:end]
-            for row, ids in zip(rows.tolist(), self._lockstep([units[i] for i in rows.tolist()], sizes[rows]), strict=True):
-                out[row] = ids
-            at = end
-        counts = np.fromiter(map(len, out), np.int64, len(out))
-        return (np.concatenate(out) if out else np.zeros(0, np.int64)), counts
-
-    def _lockstep(self, units: list[str], sizes: np.ndarray) -> list[np.ndarray]:
-        n, width = len(units), int(sizes.max())
-        points = np.zeros((width, n), np.uint32)
-        flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.arange(n), sizes)
-        points[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes), owner] = flat
-        prefix = np.zeros((width + 1, n), np.uint64)
-        for e in range(width):
-            prefix[e + 1] = prefix[e] * self.base + (points[e].astype(np.uint64) + np.uint64(1))
-        best = np.zeros((width + 1, n), np.int64)
-        step = np.zeros((width + 1, n), np.int8 if self.longest < 128 else np.int32)
-        piece = np.zeros((width + 1, n), np.int32)
-        for e in range(1, width + 1):
-            live = int(np.searchsorted(sizes, e, "left"))  # units are in order of size
-            score = np.full(n - live, NONE, np.int64)
-            take = np.ones(n - live, step.dtype)
-            what = np.full(n - live, -1, np.int32)
-            for size in range(min(self.longest, e), 0, -1):
-                h = prefix[e, live:] - prefix[e - size, live:] * self.powers[size]
-                found = self.find(h)
-                gain = np.where(found >= 0, self.scores[found], NONE if size > 1 else self.unknown) + best[e - size, live:]
-                better = gain > score
-                score = np.where(better, gain, score)
-                take[better] = size
-                what[better] = found[better]
-            best[e, live:], step[e, live:], piece[e, live:] = score, take, what
-        # back from the ends, all units at once
-        pos, rows, trail = sizes.copy(), np.arange(n), []
-        while (pos > 0).any():
-            trail.append(np.where(pos > 0, piece[pos, rows], -2))
-            pos = pos - np.where(pos > 0, step[pos, rows], 0)
-        steps = np.array(trail[::-1], np.int64).reshape(len(trail), n).T
-        out = []
-        lost = (steps == -1).any(axis=1)
-        for row in range(n):
-            ids = steps[row][steps[row] != -2]
-            out.append(self._bytes(units[row], ids) if lost[row] else ids)
-        return out
+        import sentencepiece
 
-    def _bytes(self, unit: str, ids: np.ndarray) -> np.ndarray:
-        out, at = [], 0
-        for i in ids.tolist():
-            if i >= 0:
-                out.append(i)
-                at += len(self.pieces[i])
-            else:
-                out += self.byte_ids[list(unit[at].encode("utf-8", "surrogatepass"))].tolist()
-                at += 1
-        return np.array(out, np.int64)
+        rules.add_dummy_prefix = False  # units bring their own
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+        self.neighbours: dict[tuple[int, int], bool] = {}
+
+    def may_follow(self, a: int, b: int) -> bool:
+        """Whether piece b may stand behind piece a: joined they encode to just these two."""
+        if a < 0 or b < 0:
+            return True  # characters without a piece never merge
+        known = self.neighbours.get((a, b))
+        if known is None:
+            if len(self.neighbours) >= PAIRS:
+                self.neighbours.clear()
+            known = self.neighbours[a, b] = self.library.encode(self.pieces[a] + self.pieces[b]) == [a, b]
+        return known
+
+    def chain(self, text: str, start: int, before: int | None, stop: int) -> tuple[list[int | None], list[int]]:
+        """Per end from start to stop (counted from start) the one piece that a feasible cut can have there, and its length.
+
+        before: the piece that ends at start, None at the start of a unit. -1 is a character without a piece.
+        """
+        piece: list[int | None] = [None] * (stop - start + 1)
+        size = [0] * (stop - start + 1)
+        for end in range(1, stop - start + 1):
+            for n in range(1, min(self.longest, end) + 1):
+                found = self.ids.get(text[start + end - n : start + end], -1 if n == 1 else None)
+                if found is None or (n < end and piece[end - n] is None):
+                    continue
+                last = before if n == end else piece[end - n]
+                if last is None or self.may_follow(last, found):
+                    piece[end], size[end] = found, n
+                    break
+        return piece, size
 
     # -- boundary states ---------------------------------------------------------------------------
 
-    def transfer(self, text: str, size: int) -> np.ndarray:
-        """Best score from entry state i to exit state j of a chunk of `size` characters; text goes on
-        beyond it by up to longest - 1 characters. A state is the number of characters that a piece
-        has reached into the chunk."""
-        m = self.longest
-        out = np.full((m, m), NONE, np.int64)
-        cuts = [c.start() for c in _PIECES.finditer(text) if m <= c.start() <= size]
-        exits = min(m - 1, len(text) - size)
-        if not cuts:
-            rows = self._forward(text, size, np.where(np.eye(m, min(m, len(text) + 1), dtype=bool), 0, NONE)[:, : len(text) + 1], size)
-            out[:, : exits + 1] = np.maximum(rows[:, size : size + exits + 1], NONE)
-            if size < m:  # a piece may reach over the whole chunk
-                for i in range(size, min(m, len(text) + 1)):
-                    out[i, i - size] = max(out[i, i - size], 0)
-            return out
-        first, last = cuts[0], cuts[-1]
-        seed = np.where(np.eye(m, first + 1, dtype=bool), 0, NONE)
-        before = self._forward(text[:first], first, seed, first)[:, first]
-        middle = self.score(text[first:last])
-        after = self._forward(text[last:], size - last, np.zeros((1, 1), np.int64), size - last)[0, size - last : size - last + exits + 1]
-        out[:, : exits + 1] = np.maximum(before[:, None] + middle + after[None, :], NONE)
+    def states(self, text: str, at: int) -> list[tuple[int, int]]:
+        """(start, end) of every piece that ends at a place or reaches over it, in a fixed order.
+
+        No piece reaches over the start of a unit, and what ends there does not matter: one state.
+        """
+        if at in (0, len(text)) or text[at] == "\n" or (text[at] == SPACE and text[at - 1] != SPACE):
+            return [(at, at)]
+        return [(start, end) for start in range(max(0, at - self.longest), at) for end in range(at, min(len(text), start + self.longest) + 1) if end - start == 1 or text[start:end] in self.ids]
+
+    def piece_at(self, text: str, span: tuple[int, int]) -> int | None:
+        return None if span[0] == span[1] else self.ids.get(text[span[0] : span[1]], -1)
+
+    def transfer(self, text: str, left: int, right: int) -> np.ndarray:
+        """Best sums (0 or none) from the entry states at left to the exit states at right."""
+        entries, exits = self.states(text, left), self.states(text, right)
+        place = {span: k for k, span in enumerate(exits)}
+        # starts of units, where all that came before is alike
+        marks = [c.start() for c in _PIECES.finditer(text) if left < c.start() <= right]
+        if right == len(text):
+            marks.append(right)
+
+        def exits_behind(start: int, before: int | None) -> list[int]:
+            if place.get((start, start)) is not None:
+                return [0]
+            piece, size = self.chain(text, start, before, min(len(text), right + self.longest))
+            ends = range(max(right, start + 1) - start, len(piece))
+            return [place[start + e - size[e], start + e] for e in ends if piece[e] is not None and start + e - size[e] < right]
+
+        behind = exits_behind(marks[-1], None) if marks else []
+        out = np.full((len(entries), len(exits)), NONE, np.int64)
+        for k, (begin, end) in enumerate(entries):
+            if (begin, end) in place:  # it reaches over the whole chunk
+                out[k, place[begin, end]] = 0
+            elif not marks:
+                out[k, exits_behind(end, self.piece_at(text, (begin, end)))] = 0
+            elif end == marks[0] or self.chain(text, end, self.piece_at(text, (begin, end)), marks[0])[0][-1] is not None:
+                out[k, behind] = 0
         return out
 
-    def _forward(self, text: str, starts: int, seed: np.ndarray, size: int) -> np.ndarray:
-        """Best scores to every position of text from the seeded positions, one row per seed row; pieces start before `starts`."""
-        best = np.full((len(seed), len(text) + 1), NONE, np.int64)
-        best[:, : seed.shape[1]] = seed
-        for at in range(min(starts, len(text))):
-            here = best[:, at]
-            for n in range(1, min(self.longest, len(text) - at) + 1):
-                found = self.ids.get(text[at : at + n])
-                gain = self.scores[found] if found is not None else self.unknown if n == 1 else None
-                if gain is not None:
-                    np.maximum(best[:, at + n], np.maximum(here + gain, NONE), out=best[:, at + n])
-        return best
-
-    def score(self, text: str) -> int:
-        units = [u.group() for u in _PIECES.finditer(text)]
-        flat, _ = self.best_cuts(units)
-        known = self.scores[flat]
-        is_byte = np.isin(flat, self.byte_ids)
-        lost = sum(self.unknown for u in units for c in u if c not in self.ids) if is_byte.any() else 0
-        return int(known[~is_byte].sum()) + lost
-
     def decode(self, ids: np.ndarray) -> str:
         """Pieces to text: bytes are joined, U+2581 is a space, the dummy space in front goes."""
         raw = self.raw[_ragged(self.raw_starts[ids], self.raw_sizes[ids])].tobytes()
@@ -239,10 +159,10 @@ class Model:
         return text[1:] if text[:1] == " " else text
 
 
-class PieceEncoder(UnitEncoder):
-    """Texts to piece ids with the bounded unit cache of its base."""
+class MergeEncoder(UnitEncoder):
+    """Texts to piece ids with the bounded unit cache of its base: the library encodes each unit once."""
 
-    share = 0.35  # units are solved fast in lockstep, and a worker keeps this cache from stage to stage
+    share = 0.35  # a worker keeps this cache from stage to stage
 
     def __init__(self, path: str):
         self.model = Model(path)
@@ -251,7 +171,8 @@ class PieceEncoder(UnitEncoder):
 
     def _cuts(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units, flat, and their number."""
-        return self.model.best_cuts(units)
+        lists = self.model.library.encode(units, out_type=int, num_threads=1)
+        return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
 
     def _learn(self, units: pa.Array) -> np.ndarray:
         flat, sizes = self._cuts([u if u[:1] == "\n" else SPACE + u for u in units.to_pylist()])
@@ -266,7 +187,8 @@ class PieceEncoder(UnitEncoder):
         return self._ids_of(split, np.array([bool(len(t.as_py())) for t in texts]))
 
     def _long(self, text: str, group: int) -> list[np.ndarray]:
-        return [self.span(SPACE + text.replace(" ", SPACE))]
+        units = self.units_of(SPACE + text.replace(" ", SPACE))
+        return [self._ids_of(pa.array([units]), np.array([True]))[0]]
 
     def _ids_of(self, split: pa.Array, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
@@ -284,56 +206,33 @@ class PieceEncoder(UnitEncoder):
         """Units of a normalised text, without the U+2581 that opens them."""
         return [u[1:] if u[0] == SPACE else u for u in (m.group() for m in _PIECES.finditer(text))]
 
-    def span(self, text: str) -> np.ndarray:
-        """Ids of a normalised part that may start inside a unit."""
-        if not text:
+    def trace(self, text: str, start: int, before: int | None, stop: int) -> np.ndarray:
+        """Ids of the cut from start, behind a piece, to stop, where a piece ends."""
+        if start >= stop:
             return np.zeros(0, self.dtype)
-        head = ""
-        if text[0] not in (SPACE, "\n"):
-            head = _PIECES.match(text).group()
-        ids = [self._cuts([head])[0].astype(self.dtype)] if head else []
-        units = self.units_of(text[len(head) :])
-        if units:
-            ids.append(self._ids_of(pa.array([units]), np.array([True]))[0])
-        return np.concatenate(ids)
-
-
-class MergeEncoder(PieceEncoder):
-    """Texts to piece ids by merge order: the library encodes each unit once."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        import sentencepiece
-        from sentencepiece import sentencepiece_model_pb2 as proto
-
-        model = proto.ModelProto()
-        with open(path, "rb") as f:
-            model.ParseFromString(f.read())
-        kind = model.SentencePiece.Type
-        if model.trainer_spec.model_type != model.trainer_spec.BPE or any(p.type in (kind.USER_DEFINED, kind.UNUSED) for p in model.pieces):
-            raise ValueError("a byte-pair model without user-defined or unused pieces is expected")
-        model.normalizer_spec.add_dummy_prefix = False  # units bring their own
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.pairs = {x[i : i + 2] for x in self.model.ids for i in range(len(x) - 1)}
-
-    def _cuts(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = self.library.encode(units, out_type=int, num_threads=1)
-        return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
-
-    def chunks(self, text: str, size: int) -> Iterator[str]:
-        """Parts of a normalised text of at least `size` characters; no piece crosses their ends."""
-        at = 0
-        while at < len(text):
-            end = at + size
-            while end < len(text) and text[end - 1 : end + 1] in self.pairs:
-                end += 1
-            yield text[at:end]
-            at = end
-
-
-@lru_cache(2)
-def piece_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+        cuts = [c.start() for c in _PIECES.finditer(text) if start <= c.start() <= stop]
+        out = []
+        if not cuts or cuts[0] > start:
+            out.append(self._back(text, start, before, cuts[0] if cuts else stop))
+        if cuts:
+            if cuts[-1] > cuts[0]:
+                out.append(self._ids_of(pa.array([self.units_of(text[cuts[0] : cuts[-1]])]), np.array([True]))[0])
+            out.append(self._back(text, cuts[-1], None, stop))
+        return np.concatenate(out)
+
+    def _back(self, text: str, start: int, before: int | None, stop: int) -> np.ndarray:
+        piece, size = self.model.chain(text, start, before, stop)
+        out: list[int] = []
+        end = stop
+        while end > start:
+            if piece[end - start] is None:
+                raise ValueError("a boundary state does not fit")
+            if piece[end - start] < 0:
+                out += reversed(self.model.byte_ids[list(text[end - 1].encode("utf-8", "surrogatepass"))].tolist())
+            else:
+                out.append(piece[end - start])
+            end -= size[end - start]
+        return np.array(out[::-1], self.dtype)
 
 
 @lru_cache(2)
@@ -348,21 +247,20 @@ def _lists(ids: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
-def _whole(model: str, encoder=piece_encoder):
+def _whole(model: str):
     """Rows to rows with pieces, for texts that one task encodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(model)
+        encode = merge_encoder(model)
         for batch in batches:
             at = 0
-            kept = [c for c in batch.schema.names if c != "_text"]
-            texts = pc.fill_null(batch.column("_text").cast(pa.string()), "")
+            kept = batch.column("row")
+            texts = pc.fill_null(batch.column("text").cast(pa.string()), "")
             for ids, sizes in encode(texts):
-                part = batch.slice(at, len(sizes))
                 ends = np.cumsum(sizes)
                 source = texts[at : at + len(sizes)].to_pylist()
                 same = [encode.model.decode(ids[e - s : e].astype(np.int64)) == t for e, s, t in zip(ends.tolist(), sizes.tolist(), source, strict=True)]
-                yield pa.record_batch([*(part.column(c) for c in kept), pa.array(sizes, pa.int64()), _lists(ids, sizes), pa.array(same)], [*kept, "n_tokens", "ids", "round_trip"])
+                yield pa.record_batch([kept[at : at + len(sizes)], pa.array(sizes, pa.int64()), _lists(ids, sizes), pa.array(same)], ["row", "n_tokens", "ids", "round_trip"])
                 at += len(sizes)
         pa.default_memory_pool().release_unused()
 
@@ -370,95 +268,61 @@ def _whole(model: str, encoder=piece_encoder):
 
 
 def encode_merges(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
-    """docs plus n_tokens, ids by merge order and round_trip (decoding gives the text again)."""
-    return _encode(docs, model, chunk, merge_encoder, merge_long)
-
-
-def encode(docs: DataFrame, model: str, chunk: int = CHUNK) -> DataFrame:
-    """docs plus n_tokens, ids of the greatest sum of scores and round_trip."""
-    return _encode(docs, model, chunk, piece_encoder, encode_long)
-
-
-def _encode(docs: DataFrame, model: str, chunk: int, encoder, long) -> DataFrame:
+    """docs plus n_tokens, ids (those of the library) and round_trip (decoding gives the text again)."""
     kept = [c for c in docs.columns if c not in ("n_tokens", "ids", "round_trip")]
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
-    rows = docs.select(*kept, F.col("text").alias("_text"))
-    is_long = F.coalesce(F.char_length("_text"), F.lit(0)) > chunk
-    short = rows.where(~is_long).mapInArrow(_whole(model, encoder), f"{schema}, {_DONE}")
-    return short.unionByName(long(rows.where(is_long), kept, model, chunk))
+    # a row travels as one struct, so its columns may have any names
+    rows = docs.select(F.struct(*kept).alias("row"), F.col("text").alias("text"))
+    kind = dict(rows.dtypes)["row"]
+    is_long = F.coalesce(F.char_length("text"), F.lit(0)) > chunk
+    short = rows.where(~is_long).mapInArrow(_whole(model), f"row {kind}, {_DONE}")
+    both = short.unionByName(_in_chunks(rows.where(is_long), kind, model, chunk))
+    return both.select("row.*", "n_tokens", "ids", "round_trip")
 
 
-def merge_long(rows: DataFrame, kept: list[str], model: str, chunk: int) -> DataFrame:
-    """Documents of several chunks, each encoded by a task of its own."""
+def _in_chunks(rows: DataFrame, kind: str, model: str, chunk: int) -> DataFrame:
+    """Documents of several chunks, by boundary states. Parts carry what a piece can reach on either side."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = merge_encoder(model)
+        reach = 2 * merge_encoder(model).model.longest
         for batch in batches:
-            for row, text in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-                for no, part in enumerate(known.chunks(SPACE + text.replace(" ", SPACE), chunk)):
-                    yield pa.record_batch([pa.array([row]), pa.array([no]), pa.array([part])], ["_row", "no", "part"])
-
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = merge_encoder(model)
-        for batch in batches:
-            ids = [known.span(p) for p in batch.column("part").to_pylist()]
-            yield pa.record_batch([batch.column("_row"), batch.column("no"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["_row", "no", "ids"])
-
-    # the row numbers are written before they are used, so a lost task cannot change them
-    numbered = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
-    parts = numbered.select("_row", "_text").mapInArrow(cut, "_row bigint, no bigint, part string").repartition("_row", "no")
-    return _joined(numbered, parts.mapInArrow(spans, "_row bigint, no bigint, ids array<int>"), kept, model)
-
-
-def _joined(numbered: DataFrame, pieces: DataFrame, kept: list[str], model: str) -> DataFrame:
-    """The chunks' ids of every document, one after the other."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = piece_encoder(model).model
-        for batch in batches:
-            texts, ids = batch.column("_text").to_pylist(), batch.column("ids")
-            same = [known.decode(np.asarray(i.values, np.int64)) == t for i, t in zip(ids, texts, strict=True)]
-            sizes = pc.list_value_length(ids).cast(pa.int64())
-            yield pa.record_batch([*(batch.column(c) for c in kept), sizes, ids, pa.array(same)], [*kept, "n_tokens", "ids", "round_trip"])
-
-    kinds = dict(numbered.dtypes)
-    joined = pieces.groupBy("_row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept)
-    return numbered.join(joined, "_row").select(*kept, "_text", "ids").mapInArrow(compare, f"{schema}, {_DONE}")
-
-
-def encode_long(rows: DataFrame, kept: list[str], model: str, chunk: int) -> DataFrame:
-    """Documents of several chunks, by boundary states."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead = piece_encoder(model).model.longest - 1
-        for batch in batches:
-            for row, text in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            for number, text in zip(batch.column("number").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 text = SPACE + text.replace(" ", SPACE)
                 for no, at in enumerate(range(0, len(text), chunk)):
-                    yield pa.record_batch([pa.array([row]), pa.array([no]), pa.array([min(chunk, len(text) - at)]), pa.array([text[at : at + chunk + ahead]])], ["_row", "no", "size", "part"])
+                    begin, end = max(0, at - reach), min(len(text), at + chunk + reach)
+                    right = min(at + chunk, len(text))
+                    # cut texts are told from the ends of the document by a margin of their own
+                    yield pa.record_batch([pa.array([number]), pa.array([no]), pa.array([at - begin]), pa.array([right - begin]), pa.array([text[begin:end]])], ["number", "no", "left", "right", "part"])
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = piece_encoder(model).model
+        known = merge_encoder(model).model
         for batch in batches:
-            flat = [known.transfer(p, s).ravel() for p, s in zip(batch.column("part").to_pylist(), batch.column("size").to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column("_row"), batch.column("no"), pa.array(flat, pa.list_(pa.int64()))], ["_row", "no", "t"])
+            found = [known.transfer(p, a, b) for p, a, b in zip(*(batch.column(c).to_pylist() for c in ("part", "left", "right")), strict=True)]
+            yield pa.record_batch([batch.column("number"), batch.column("no"), pa.array([len(t) for t in found], pa.int64()), pa.array([t.ravel() for t in found], pa.list_(pa.int64()))], ["number", "no", "height", "t"])
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = piece_encoder(model)
+        known = merge_encoder(model)
+        for batch in batches:
+            ids = []
+            for part, left, right, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("part", "left", "right", "enter", "leave")), strict=True):
+                came, goes = known.model.states(part, left)[enter], known.model.states(part, right)[leave]
+                ids.append(known.trace(part, came[1], known.model.piece_at(part, came), goes[1]).astype(np.int32))
+            yield pa.record_batch([batch.column("number"), batch.column("no"), pa.array(ids, pa.list_(pa.int32()))], ["number", "no", "ids"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = merge_encoder(model).model
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("part", "size", "enter", "leave"))
-            ids = [known.span(p[a : s + b]) for p, s, a, b in zip(*columns, strict=True)]
-            yield pa.record_batch([batch.column("_row"), batch.column("no"), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], ["_row", "no", "ids"])
+            texts, ids = batch.column("text").to_pylist(), batch.column("ids")
+            same = [known.decode(np.asarray(i.values, np.int64)) == t for i, t in zip(ids, texts, strict=True)]
+            yield pa.record_batch([batch.column("row"), pc.list_value_length(ids).cast(pa.int64()), ids, pa.array(same)], ["row", "n_tokens", "ids", "round_trip"])
 
-    # the row numbers are written before they are used, so a lost task cannot change them
-    numbered = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
-    parts = stored(numbered.select("_row", "_text").mapInArrow(cut, "_row bigint, no bigint, size bigint, part string").repartition("_row", "no"))
-    moves = stored(parts.mapInArrow(matrices, "_row bigint, no bigint, t array<bigint>"))
-    states = small_side(stored(boundary_states(moves)))
-    pieces = parts.join(states, ["_row", "no"]).select("_row", "no", "part", "size", "enter", "leave").mapInArrow(spans, "_row bigint, no bigint, ids array<int>")
-    return _joined(numbered, pieces, kept, model)
+    # the numbers are written before they are used, so a lost task cannot change them
+    numbered = stored(rows.withColumn("number", F.monotonically_increasing_id()))
+    parts = stored(numbered.select("number", "text").mapInArrow(cut, "number bigint, no bigint, left bigint, right bigint, part string").repartition("number", "no"))
+    moves = stored(parts.mapInArrow(matrices, "number bigint, no bigint, height bigint, t array<bigint>"))
+    states = small_side(stored(boundary_states(moves, BLOCK)))
+    pieces = parts.join(states, ["number", "no"]).select("number", "no", "part", "left", "right", "enter", "leave").mapInArrow(spans, "number bigint, no bigint, ids array<int>")
+    joined = pieces.groupBy("number").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return numbered.join(joined, "number").select("row", "text", "ids").mapInArrow(compare, f"row {kind}, {_DONE}")
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -467,7 +331,7 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def boundary_states(moves: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(_row, no, enter, leave): the states of every chunk on the best path of its document.
+    """(number, no, enter, leave): the states of every chunk on the best path of its document.
 
     Blocks of chunks are multiplied by many tasks; a document's block products give the vectors at
     block ends; each block then finds the states inside it.
@@ -476,20 +340,20 @@ def boundary_states(moves: DataFrame, block: int = BLOCK) -> DataFrame:
 
     by = moves.withColumn("block", F.floor(F.col("no") / block))
 
-    def square(t) -> np.ndarray:
-        side = int(len(t) ** 0.5)
-        return np.asarray(t, np.int64).reshape(side, side)
+    def matrix(t, height: int) -> np.ndarray:
+        return np.asarray(t, np.int64).reshape(height, -1)
+
+    def all_of(part: pd.DataFrame) -> list[np.ndarray]:
+        return [matrix(t, h) for t, h in zip(part["t"], part["height"], strict=True)]
 
     def product(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("no")
-        total = None
-        for t in part["t"]:
-            total = square(t) if total is None else times(total, square(t))
-        return pd.DataFrame({"_row": [part["_row"].iloc[0]], "block": [part["block"].iloc[0]], "t": [total.ravel()]})
-
-    def chain(mats: list[np.ndarray], start: int, end: int) -> list[int]:
-        """States before, between and after the matrices on the best path from start to end (the least among equals)."""
-        tail = [np.where(np.arange(len(mats[0])) == end, 0, NONE)]
+        total = reduce(times, all_of(part))
+        return pd.DataFrame({"number": [part["number"].iloc[0]], "block": [part["block"].iloc[0]], "height": [len(total)], "t": [total.ravel()]})
+
+    def chained(mats: list[np.ndarray], start: int, end: int) -> list[int]:
+        """States before, between and after the matrices on the best path from start to end."""
+        tail = [np.where(np.arange(mats[-1].shape[1]) == end, 0, NONE)]
         for m in reversed(mats):
             tail.append(np.maximum((m + tail[-1][None, :]).max(axis=1), NONE))
         tail.reverse()
@@ -500,14 +364,14 @@ def boundary_states(moves: DataFrame, block: int = BLOCK) -> DataFrame:
 
     def ends(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("block")
-        states = chain([square(t) for t in part["t"]], 0, 0)
-        return pd.DataFrame({"_row": part["_row"], "block": part["block"], "first": states[:-1], "last": states[1:]})
+        states = chained(all_of(part), 0, 0)
+        return pd.DataFrame({"number": part["number"], "block": part["block"], "first": states[:-1], "last": states[1:]})
 
     def inner(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("no")
-        states = chain([square(t) for t in part["t"]], int(part["first"].iloc[0]), int(part["last"].iloc[0]))
-        return pd.DataFrame({"_row": part["_row"], "no": part["no"], "enter": states[:-1], "leave": states[1:]})
+        states = chained(all_of(part), int(part["first"].iloc[0]), int(part["last"].iloc[0]))
+        return pd.DataFrame({"number": part["number"], "no": part["no"], "enter": states[:-1], "leave": states[1:]})
 
-    products = by.groupBy("_row", "block").applyInPandas(product, "_row bigint, block bigint, t array<bigint>")
-    borders = stored(products.groupBy("_row").applyInPandas(ends, "_row bigint, block bigint, first bigint, last bigint"))
-    return by.join(small_side(borders), ["_row", "block"]).groupBy("_row", "block").applyInPandas(inner, "_row bigint, no bigint, enter bigint, leave bigint")
+    products = by.groupBy("number", "block").applyInPandas(product, "number bigint, block bigint, height bigint, t array<bigint>")
+    borders = stored(products.groupBy("number").applyInPandas(ends, "number bigint, block bigint, first bigint, last bigint"))
+    return by.join(small_side(borders), ["number", "block"]).groupBy("number", "block").applyInPandas(inner, "number bigint, no bigint, enter bigint, leave bigint")
