@@ -1,14 +1,19 @@
 """Licence scans, in DataFrame functions only.
 
-Statements (sentences or lines with a licence word) of every file and the whole text of licence files
-become sparse TF-IDF vectors and meet the templates' vectors on their terms; the best cosine names the
-licence. A licence file speaks for its directory. A file without a licence of its own takes that of the
-nearest ancestor directory that has one: directories, not files, are exploded into their ancestors and
-joined on the path, so a directory with a third of all files is one row.
+The units of a file that may name a licence become sparse TF-IDF vectors and meet the templates' vectors on their
+terms; the best cosine names the licence. Units are sentences and lines with a licence word, paragraphs with one
+(comment signs stripped, wrapped lines in one piece), the run of comment lines that opens the file, and the whole
+text of licence files. Templates are titles, statements, headers and whole texts (`license_texts`). A licence file
+speaks for its directory. A file without a licence of its own takes that of the nearest ancestor directory that
+has one: directories, not files, are exploded into their ancestors and joined on the path, so a directory with a
+third of all files is one row.
 
 Defined results: null and empty texts declare nothing; a null path has no directory and inherits
 nothing; ties of a score go to the licence first in the alphabet, ties of licence files in a directory
-to the better score and then the first path; equal rows give equal results (one row each).
+to the better score and then the first path; equal rows give equal results (one row each); a very long text is
+split into its units as a whole, and only units with a licence word are carried on; an empty table gives no rows.
+Columns named own_license, own_score, license or license_from are replaced, all others but text are kept whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,9 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueloom.llm.common import small_side, stored
+from cueloom.llm.license_texts import TEXTS
 
 #: Words that a licence statement has at least one of.
-MARKER = r"(?i)\b(licen[cs]e[ds]?|licen[cs]ing|spdx|copyleft|public domain|creative commons|cc0|cc by|permission is hereby granted|permission to use, copy|redistribution and use)\b"
+MARKER = r"(?i)\b(licen[cs]e[ds]?|licen[cs]ing|spdx|copyleft|public domain|creative commons|cc0|cc by|permission is hereby granted|permission to use,\s+copy|redistribution and use|neither the name)\b"
+#: Signs that open or close a comment, at the start or the end of a line.
+COMMENT = r"^[ \t]*(/\*+|\*+/|\*+|//+|#+|;+|--+|%+|<!--+)[ \t]*|[ \t]*(\*+/|--+>)[ \t\r]*$"
 #: Base names of licence files.
 LICENSE_FILE = r"(?i)^(licen[cs]e|copying|notice|unlicense|copyright)([-._].*)?$"
 MIN_COSINE = 0.5
@@ -32,7 +40,7 @@ STATEMENTS = {
     "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the License)", "Apache License Version 2.0, January 2004"],
     "BSD-2-Clause": ["Released under the BSD 2-Clause License", "Licensed under the Simplified BSD License"],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"],
     "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
@@ -56,9 +64,13 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def built_in() -> dict[str, list[str]]:
+    return {k: [*v, SPDX.format(name=k), *TEXTS[k]] for k, v in STATEMENTS.items()}
+
+
 def templates(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
-    """(license, template, text): the built-in statements, each with its SPDX tag, or other ones."""
-    source = texts or {k: [*v, SPDX.format(name=k)] for k, v in STATEMENTS.items()}
+    """(license, template, text): the built-in ones, or others."""
+    source = texts or built_in()
     rows = [(name, f"{name}#{i}", text) for name, own in sorted(source.items()) for i, text in enumerate(own)]
     return spark.createDataFrame(rows, "license string, template string, text string")
 
@@ -75,11 +87,20 @@ def template_vectors(known: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 
 def statements(files: DataFrame) -> DataFrame:
-    """(_key, unit, body): sentences and lines with a licence word, whole texts of licence files."""
+    """(_key, unit, body): sentences, lines, paragraphs and the opening comment with a licence word, whole texts of licence files."""
     marked = files.where(F.col("text").rlike(MARKER) | F.col("is_license"))
-    units = F.filter(F.split("text", r"\n|(?<=[.;!?])\s+"), lambda u: u.rlike(MARKER))
-    whole = F.when(F.col("is_license"), F.array("text")).otherwise(F.expr("array_remove(array(''), '')"))
-    return marked.select("_key", F.posexplode(F.concat(units, whole)).alias("unit", "body"))
+    has_word = lambda u: u.rlike(MARKER)
+    units = F.filter(F.split("text", r"\n|(?<=[.;!?])\s+"), has_word)
+    lines = F.split("text", "\n")
+    bare = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, COMMENT, "")))
+    paragraphs = F.filter(F.split(F.array_join(bare, "\n"), "\n\n+"), has_word)
+    # comment lines and empty ones up to the first other line
+    other = F.array_position(F.transform(lines, lambda x: ~x.rlike(r"^[ \t]*(/\*|\*|//|#|;|--|%|<!--)|^[ \t\r]*$")), True)
+    head = F.array_join(F.when(other > 0, F.slice(bare, F.lit(1), (other - 1).cast("int"))).otherwise(bare), "\n")
+    none = F.expr("array_remove(array(''), '')")
+    opening = F.when(head.rlike(MARKER), F.array(head)).otherwise(none)
+    whole = F.when(F.col("is_license"), F.array("text")).otherwise(none)
+    return marked.select("_key", F.posexplode(F.array_distinct(F.concat(units, paragraphs, opening, whole))).alias("unit", "body"))
 
 
 def declared(files: DataFrame, known: DataFrame, least: float = MIN_COSINE) -> DataFrame:
@@ -126,10 +147,11 @@ def scan(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     known = templates(files.sparkSession) if known is None else known
     names = [c for c in files.columns if c not in ("text", "own_license", "own_score", "license", "license_from")]
+    # a row's own columns travel as one struct, so they may have any names
     base = F.regexp_extract("path", r"([^/]*)$", 1)
-    keyed = files.select(*names, "text", F.coalesce(base.rlike(LICENSE_FILE), F.lit(False)).alias("is_license"), F.struct("path", F.xxhash64("text").alias("h")).alias("_key"))
+    keyed = files.select(F.struct(*names).alias("_row"), "path", "text", F.coalesce(base.rlike(LICENSE_FILE), F.lit(False)).alias("is_license"), F.struct("path", F.xxhash64("text").alias("h")).alias("_key"))
     found = stored(declared(keyed.select("_key", "text", "is_license"), known))
-    rows = keyed.select(*names, "is_license", "_key", parent_of(F.col("path")).alias("_dir"))
+    rows = keyed.select("_row", "path", "is_license", "_key", parent_of(F.col("path")).alias("_dir"))
     key = F.struct(F.coalesce(F.concat(F.lit("="), F.col("_key.path")), F.lit("-")).alias("p"), F.coalesce("_key.h", F.lit(0)).alias("h"))
     own = rows.withColumn("_k", key).join(small_side(found.select(key.alias("_k"), F.col("license").alias("own_license"), F.col("score").alias("own_score"))), "_k", "left").drop("_k", "_key")
     own = stored(own)
@@ -141,7 +163,7 @@ def scan(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     above = small_side(stored(inherited(dirs, owners)).withColumnRenamed("dir", "_dir"))
     out = own.join(above, "_dir", "left")
     return out.select(
-        *names,
+        "_row.*",
         "own_license",
         "own_score",
         F.coalesce("own_license", "inherited").alias("license"),

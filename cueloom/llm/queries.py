@@ -170,10 +170,17 @@ tt AS (SELECT license, template, term, count(*) AS tf FROM (SELECT license, temp
 nt AS (SELECT count(*) AS n FROM tpl),
 idf AS (SELECT term, ln(1 + any_value(n) / count(*)) AS idf FROM tt, nt GROUP BY term),
 tv AS (SELECT term, template, license, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
-f AS (SELECT doc_id, text, source || '/' || lang || '/' || (doc_id // 100) AS dir, coalesce(regexp_matches(split_part(text, chr(10), 1), '{marker}'), FALSE) AS is_license FROM documents),
+f0 AS (SELECT doc_id, text, coalesce(regexp_matches(split_part(text, chr(10), 1), '{marker}'), FALSE) AS is_license FROM documents),
+f AS (SELECT f0.*, array_to_string(list_filter([source, lang, (f0.doc_id // 1000)::VARCHAR, (f0.doc_id // 100)::VARCHAR][1:CASE WHEN is_license THEN 1 + f0.doc_id % 4 ELSE 4 END], lambda x: x IS NOT NULL), '/') AS dir
+  FROM f0 JOIN documents USING (doc_id)),
+m AS (SELECT doc_id, text, is_license, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '{comment}', '', 'g'))) AS bare,
+    list_position(list_transform(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^[ \t]*(/\*|\*|//|#|;|--|%|<!--)|^[ \t\r]*$')), TRUE) AS other
+  FROM f WHERE is_license OR regexp_matches(text, '{marker}')),
 u AS (
-  SELECT DISTINCT doc_id, body FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.;!?])\s+', '\1' || chr(10), 'g'), '\n')) AS body FROM f) WHERE regexp_matches(body, '{marker}')
-  UNION SELECT doc_id, text FROM f WHERE is_license),
+  SELECT DISTINCT doc_id, body FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '([.;!?])\s+', '\1' || chr(10), 'g'), '\n')) AS body FROM m) WHERE regexp_matches(body, '{marker}')
+  UNION SELECT doc_id, body FROM (SELECT doc_id, unnest(string_split_regex(array_to_string(bare, chr(10)), '\n\n+')) AS body FROM m) WHERE regexp_matches(body, '{marker}')
+  UNION SELECT doc_id, body FROM (SELECT doc_id, array_to_string(CASE WHEN other > 0 THEN bare[1:other - 1] ELSE bare END, chr(10)) AS body FROM m) WHERE regexp_matches(body, '{marker}')
+  UNION SELECT doc_id, text FROM m WHERE is_license),
 b AS (SELECT body, term, count(*) AS tf FROM (SELECT body, unnest(string_split_regex(lower(body), '[^\p{L}\p{N}]+')) AS term FROM (SELECT DISTINCT body FROM u)) WHERE term <> '' GROUP BY ALL),
 bw AS (SELECT body, term, tf * coalesce(idf, ln(1 + n)) AS w FROM b LEFT JOIN idf USING (term), nt),
 cosine AS (
@@ -182,24 +189,29 @@ cosine AS (
 own AS (SELECT doc_id, license AS own_license, score AS own_score FROM u JOIN cosine USING (body) WHERE score >= 0.5
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
 r AS (SELECT f.*, dir || CASE WHEN is_license THEN '/LICENSE-' || doc_id ELSE '/' || doc_id || '.txt' END AS path, own_license, own_score FROM f LEFT JOIN own USING (doc_id)),
-dl AS (SELECT dir, own_license AS license FROM r WHERE is_license AND own_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) = 1)
-SELECT doc_id, path, own_license, own_score, coalesce(own_license, dl.license) AS license, CASE WHEN own_license IS NOT NULL THEN 'own' ELSE dl.dir END AS license_from
-FROM r LEFT JOIN dl ON r.dir = dl.dir
+dl AS (SELECT dir, own_license AS license FROM r WHERE is_license AND own_license IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY own_score DESC, path) = 1),
+up AS (SELECT doc_id, unnest(list_transform(range(0, len(steps) + 1), lambda k: array_to_string(steps[1:k], '/'))) AS above FROM (SELECT doc_id, string_split(dir, '/') AS steps FROM r)),
+near AS (SELECT doc_id, arg_max(dl.dir, length(dl.dir)) AS dir, arg_max(license, length(dl.dir)) AS license FROM up JOIN dl ON up.above = dl.dir GROUP BY doc_id)
+SELECT doc_id, path, own_license, own_score, coalesce(own_license, near.license) AS license, CASE WHEN own_license IS NOT NULL THEN 'own' ELSE near.dir END AS license_from
+FROM r LEFT JOIN near USING (doc_id)
 """
 
 
 def _license_values() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    return ", ".join(f"({quote(k)}, {quote(f'{k}#{i}')}, {quote(t)})" for k, v in licenses.STATEMENTS.items() for i, t in enumerate([*v, licenses.SPDX.format(name=k)]))
+    return ", ".join(f"({quote(k)}, {quote(f'{k}#{i}')}, {quote(t)})" for k, v in licenses.built_in().items() for i, t in enumerate(v))
 
 
-@query("op1_license_scan", LICENSES_SQL.replace("{templates}", _license_values()).replace("{marker}", licenses.MARKER))
+@query("op1_license_scan", LICENSES_SQL.replace("{templates}", _license_values()).replace("{marker}", licenses.MARKER).replace("{comment}", licenses.COMMENT))
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files below source, language and a directory per hundred ids; those that open with a
-    licence statement are the licence files of their directories."""
+    """Documents as files below source, language and directories per thousand and hundred ids; those that open with
+    a licence statement are licence files, of one of the four directories above them in turn."""
     docs = table(spark, sf_dir, "documents")
-    folder = F.concat_ws("/", "source", "lang", F.expr("doc_id div 100").cast("string"))
-    name = F.when(licenses.first_line_marked(), F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    marked, number = licenses.first_line_marked(), F.col("doc_id").cast("string")
+    steps = F.array("source", "lang", F.expr("doc_id div 1000").cast("string"), F.expr("doc_id div 100").cast("string"))
+    depth = F.when(marked, 1 + F.col("doc_id") % 4).otherwise(4).cast("int")
+    folder = F.array_join(F.slice(steps, F.lit(1), depth), "/")
+    name = F.when(marked, F.concat(F.lit("LICENSE-"), number)).otherwise(F.concat(number, F.lit(".txt")))
     return licenses.scan(docs.select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text"))
 
 

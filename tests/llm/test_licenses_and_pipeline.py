@@ -1,7 +1,10 @@
 """Licence scans, the pipeline, and the registered texts."""
 
 import importlib
+import os
+import re
 import sys
+import textwrap
 
 import duckdb
 import pytest
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cueloom.llm import licenses, queries
+from cueloom.llm.license_texts import TEXTS
 
 DATA = "/root/testdata/sf0.001"
 
@@ -54,10 +58,38 @@ def test_each_template_names_its_licence(spark):
     assert {p: got[p] for p in marked} == {p: want[p] for p in marked} and len(marked) > 30
 
 
+def wrapped(text, sign, width=62):
+    lines = textwrap.wrap(text, width)
+    return "\n".join(f"{sign} {x}" for x in lines)
+
+
+def test_headers_and_whole_texts(spark):
+    """Wrapped headers behind comment signs, untitled ones too, and whole licence files."""
+    rows, want = [], {}
+    for k, own in TEXTS.items():
+        long = [t for t in own if len(t.split()) > 12 and re.search(licenses.MARKER, t)]
+        for i, text in enumerate(long):
+            for j, sign in enumerate(("#", "//", " *", "--", "")):
+                body = wrapped(text, sign) if sign else textwrap.fill(text, 70)
+                rows.append((f"{k}{i}{j}/f.c", f"{'/*' if sign == ' *' else sign}\n{body}\n{' */' if sign == ' *' else ''}\n\nint main() {{ return license; }}\n" if sign else body))
+                want[rows[-1][0]] = k
+    common = "/usr/share/common-licenses"
+    whole = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for name, k in whole.items():
+        if os.path.exists(f"{common}/{name}"):
+            with open(f"{common}/{name}") as f:
+                rows.append((f"w{name}/COPYING", f.read()))
+            want[rows[-1][0]] = k
+    got = {r.path: r.own_license for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    # the first two GNU sentences and the bare conditions of shared headers are told apart by version and clauses
+    assert {p: got[p] for p in want if got[p] != want[p]} == {}
+    assert len({k for k in want.values()}) == len(TEXTS)
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     cursor = con.execute(queries.SQL[name])
     names = [d[0] for d in cursor.description]
