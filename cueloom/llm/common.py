@@ -31,9 +31,14 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+def is_small(df: DataFrame, bound: int | None = None) -> bool:
+    """Whether the counted rows of a stored table stay within the bound of a broadcast."""
+    return df.count() <= (BROADCAST_ROWS if bound is None else bound)
+
+
+def small_side(df: DataFrame, bound: int | None = None) -> DataFrame:
     """Mark a stored table for broadcast if its counted rows stay within the bound; else leave it to a shuffle join."""
-    return F.broadcast(df) if df.count() <= bound else df
+    return F.broadcast(df) if is_small(df, bound) else df
 
 
 def lower_ascii(text: Column) -> Column:
@@ -52,6 +57,17 @@ def hex_number(text: Column, digits: int = 8) -> Column:
     return F.conv(F.substring(text, 1, digits), 16, 10).cast("long")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores in front until no column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def small_batches(spark: SparkSession, size: str = "4m") -> None:
     """Bound what a Python worker is sent at once, where the session has Spark's default: texts can be long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

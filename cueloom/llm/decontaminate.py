@@ -5,8 +5,12 @@ anchors: of a window of L words every document occurrence covers exactly one pos
 multiple of L - k + 1 with a k-word gram inside it, so only those positions are hashed and met with
 the set of item grams. Each hit is then verified by equality with the window's whole text.
 
+Where the grams are too many for a broadcast, an anchor row carries the at most 25 words around it through the
+shuffle, never the document.
+
 Defined results: null or empty texts have no words and are never contaminated; items without words
-have no window; equal rows give equal verdicts (one each); a benchmark without windows marks nothing.
+have no window; equal rows give equal verdicts (one each); a benchmark without windows marks nothing;
+an empty table gives no rows; a very long text is scanned whole, one anchor in nine words.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import lower_ascii, small_side, split_words, stored
+from cueloom.llm.common import is_small, lower_ascii, small_side, split_words, stored, unused
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 13
@@ -51,7 +55,9 @@ def hits(docs: DataFrame, windows: DataFrame, anchor: int = ANCHOR) -> DataFrame
     """
     windows = stored(windows)
     lengths = [r[0] for r in windows.select("n").distinct().collect()]  # at most WINDOW values
-    grams, spans = small_side(stored(anchors_of(windows, anchor))), small_side(windows.select("span", "items"))
+    grams = stored(anchors_of(windows, anchor))
+    shuffled = not is_small(grams)
+    grams, spans = small_side(grams), small_side(windows.select("span", "items"))
     size = F.col("n_words")
 
     def anchors(n: int) -> Column:
@@ -66,7 +72,16 @@ def hits(docs: DataFrame, windows: DataFrame, anchor: int = ANCHOR) -> DataFrame
     every = F.concat(base, *[F.coalesce(anchors(n), none) for n in lengths])
     at = d.select("doc_id", "fp", "w", "n_words", F.explode(every).alias("a")).select("doc_id", "fp", "w", "n_words", "a.n", "a.p")
     is_base = F.col("p") < 0
-    keyed = at.withColumn("h", F.when(is_base, F.xxhash64("fp", "doc_id")).otherwise(_gram(F.col("w"), F.greatest(F.col("p"), F.lit(0)), F.col("n"), anchor)))
+    # where the grams are too many for a broadcast the rows are shuffled, so they carry the words
+    # that a window over the gram can reach (2 * WINDOW - ANCHOR) and not the document's
+    reach = max(lengths, default=anchor) - 1
+    if shuffled:
+        begin = F.greatest(F.col("p") - reach, F.lit(0))
+        around = F.when(is_base, F.slice("w", 1, 0)).otherwise(F.slice("w", begin + 1, 2 * reach + 1))
+        at = at.select("doc_id", "fp", "n_words", "n", "p", F.when(is_base, 0).otherwise(begin).alias("shift"), around.alias("w"))
+    else:
+        at = at.withColumn("shift", F.lit(0))
+    keyed = at.withColumn("h", F.when(is_base, F.xxhash64("fp", "doc_id")).otherwise(_gram(F.col("w"), F.greatest(F.col("p") - F.col("shift"), F.lit(0)), F.col("n"), anchor)))
     met = keyed.join(grams, (keyed["h"] == grams["h"]) & (keyed["p"] >= 0), "left").drop(grams["h"])
     start = F.col("p") - F.col("off")
     inside = (start >= 0) & (start + F.col("n") <= size)
@@ -78,7 +93,7 @@ def hits(docs: DataFrame, windows: DataFrame, anchor: int = ANCHOR) -> DataFrame
         start.alias("s"),
         (start + F.col("n")).alias("e"),
         # a base row gets a key of its own that no window has: '#' is no word character
-        F.when(is_base, F.concat(F.lit("#"), F.col("fp").cast("string"))).otherwise(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("n")), " ")).alias("_span"),
+        F.when(is_base, F.concat(F.lit("#"), F.col("fp").cast("string"))).otherwise(F.array_join(F.slice("w", F.greatest(start - F.col("shift"), F.lit(0)) + 1, F.col("n")), " ")).alias("_span"),
     )
     found = met.join(spans, met["_span"] == spans["span"], "left").where(is_base | F.col("items").isNotNull())
     return found.groupBy("doc_id", "fp").agg(
@@ -114,8 +129,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones, all columns kept."""
-    bad = stored(scan(docs.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).distinct())
-    return docs.join(small_side(bad), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_fp")), "left_anti")
+    doc, print_ = unused(docs, "_id", "_fp")
+    bad = stored(scan(docs.select("doc_id", "text"), benchmark).where("contaminated").select(F.col("doc_id").alias(doc), F.col("fp").alias(print_)).distinct())
+    return docs.join(small_side(bad), docs["doc_id"].eqNullSafe(F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(print_)), "left_anti")
 
 
 def _merged(spans: Column) -> Column:

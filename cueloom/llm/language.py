@@ -6,7 +6,7 @@ they are fitted by dual coordinate descent on a bounded sample, whose features t
 applied to every text inside tasks.
 
 Defined results: null texts and texts without a letter are `und` with score 0; null labels are never
-learned; with no labelled row everything is `und`, with one language everything with letters is that
+learned; equal votes of machines go to the label first in the alphabet; with no labelled row everything is `und`, with one language everything with letters is that
 language with score 1; repeated rows are predicted one by one.
 """
 
@@ -21,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cueloom.llm.common import small_side, stored, unused
+
 DIMENSIONS = 2_048
 #: Bound of the training sample: expected labelled rows of each language.
 SAMPLE_PER_LANGUAGE = 800
 EPOCHS = 20
+#: Columns that a prediction adds.
+PREDICTED = ("lang_pred", "score", "family_pred")
 #: Weight of a training row's hinge loss against the size of the weights.
 COST = 1.0
 #: Characters a task turns into features at once; longer texts are taken in pieces and summed.
@@ -115,11 +119,11 @@ def held_out() -> Column:
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """(lang, features): labelled rows outside the held-out part, drawn by hash within the bound."""
     open_rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in open_rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30))
-    limit = F.lit(0)
-    for lang, n in counts.items():
-        limit = F.when(F.col("lang") == lang, int(min(1.0, per_language / n) * (1 << 30))).otherwise(limit)
+    counts = open_rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    share = small_side(stored(counts.select("lang", (F.least(F.lit(1.0), per_language / F.col("_n")) * (1 << 30)).cast("long").alias("_limit"))))
+    open_rows = open_rows.select("doc_id", "text", "lang").join(share, "lang")
+    limit = F.col("_limit")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +215,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Hierarchy:
 def predict(docs: DataFrame, model: Hierarchy) -> DataFrame:
     """docs plus lang_pred, score and family_pred."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few weights per pair of languages
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "family_pred")]
+    kept = [c for c in docs.columns if c not in PREDICTED]
     kinds = dict(docs.dtypes)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +242,7 @@ MIN_SCORE = 0.3
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents with a recognised language, all columns kept."""
-    labelled = predict(docs.withColumnRenamed("score", "_own_score") if "score" in docs.columns else docs, fit(docs.select("doc_id", "text", "lang")))
+    names = {c: unused(docs, f"_{c}")[0] for c in PREDICTED if c in docs.columns}
+    labelled = predict(docs.withColumnsRenamed(names), fit(docs.select("doc_id", "text", "lang")))
     good = labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    names = ["_own_score" if c == "score" else c for c in docs.columns]
-    return good.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    return good.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])

@@ -7,14 +7,16 @@ into a parity bitmap of 1,024 bits make an odd sketch: the popcount of the XOR o
 a similarity near 1 so well that a bound five standard deviations off 0.8 settles which candidates are
 confirmed on their full sets.
 
-No bucket is expanded into its pairs. In each round a bucket elects one pivot, and only members that
+No bucket is expanded into its pairs of rows. In each round a bucket elects one pivot, and only members that
 are not yet in the pivot's component meet it; then components are joined anew and settled buckets
-drop out. Components that are still apart but share a bucket are compared in full, so that no link
-between classes is lost: single nodes by sketch and set, others in blocks of nodes against blocks of
+drop out. Components that are still apart but share a bucket are found by blocks of the bucket's nodes against
+blocks, whose sizes, sketches and first common band tell which may be linked; what may be is compared in full, so
+that no link between classes is lost: single nodes by sketch and set, others in blocks of nodes against blocks of
 the larger component, of which only the links leave the task.
 
 Defined results: null, empty and wordless texts have an empty set, no links and are kept; rows with
-one doc_id are one document; rows with a null doc_id are measured, never linked and kept; an empty
+one doc_id are one document; rows with a null doc_id are measured, never linked and kept; a very long text
+is cut into words as a whole, its set worked on in pieces; equal sizes and sketches fall to the lesser id; an empty
 table gives no rows.
 """
 
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import small_side, stored
+from cueloom.llm.common import small_side, stored, unused
 
 SHINGLE = 2
 BANDS, ROWS = 32, 4
@@ -290,21 +292,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _label_pairs(apart: DataFrame, heads: DataFrame) -> DataFrame:
-    """(la, lb): pairs of components that share a bucket and may have a link between them.
+    """(la, lb): pairs of components that share a bucket and may have a link between their nodes in it.
 
-    A component of one node carries its sketch and bands: two such meet only if their sketches
-    allow it, and only in the first band that both have.
+    A bucket is split into blocks of nodes by hash, and blocks meet blocks in tasks of their own: a bucket is
+    never one join key. Two nodes count in the first band that both have, if sizes and sketches allow a link;
+    a task gives every pair of components once.
     """
-    rest = apart.select("band", "label").distinct()
-    # a node that is its own label and nobody else's
-    alone = apart.groupBy("label").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a = _b AND _a = label").select("label")
-    own = heads.select(F.col("node").alias("label"), F.struct("n_shingles", *_SKETCH).alias("s"), "bands").join(alone, "label")
-    rows = rest.join(own, "label", "left")
-    x = rows.select("band", F.col("label").alias("la"), F.col("s").alias("p"), F.col("bands").alias("pb"))
-    y = rows.select("band", F.col("label").alias("lb"), F.col("s").alias("q"), F.col("bands").alias("qb"))
-    either = F.col("p").isNull() | F.col("q").isNull()
-    first = F.array_min(F.array_intersect("pb", "qb")) == x["band"]
-    return x.join(y, (x["band"] == y["band"]) & (F.col("la") < F.col("lb")) & (either | (_close("p", "q") & first))).select("la", "lb").distinct()
+    own = heads.select("node", F.struct("node", "n_shingles", F.array(*_SKETCH).alias("sketch"), "bands").alias("own"))
+    counts = small_side(stored(apart.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_B).alias("blocks"))))
+    placed = apart.join(counts, "band").join(own, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    # dealt out by block: a partitioning by band alone would do for the grouping, with one task for a large bucket
+    boxes = stored(placed.repartition("band", "block").groupBy("band", "blocks", "block").agg(F.collect_list(F.struct("label", "own")).alias("items")), "lz4")
+    inner = boxes.where(F.size("items") > 1).select("band", "items", F.col("items").alias("others"))
+    crowded = boxes.where("blocks > 1")
+    turns = crowded.where(F.col("block") + 1 < F.col("blocks")).select("band", "block", F.explode(F.sequence(F.col("block") + 1, F.col("blocks") - 1)).alias("other"))
+    left, right = crowded.select("band", "block", "items"), crowded.select("band", F.col("block").alias("other"), F.col("items").alias("others"))
+    outer = turns.join(left, ["band", "block"]).join(right, ["band", "other"]).select("band", "items", "others")
+    return inner.unionByName(outer).mapInArrow(_close_labels, "la bigint, lb bigint").distinct()
+
+
+def _close_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def side(items: pa.StructArray) -> tuple[np.ndarray, ...]:
+        own, n = items.field("own"), len(items)
+        flat = lambda c: own.field(c).flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        return items.field("label").to_numpy(), own.field("n_shingles").to_numpy(), flat("sketch").view(np.uint64), flat("bands")
+
+    for batch in batches:
+        for row in range(batch.num_rows):
+            label, size, sketch, bands = side(batch.column("items")[row].values)
+            label2, size2, sketch2, bands2 = side(batch.column("others")[row].values)
+            like = (size[:, None] * 100 >= THRESHOLD * size2[None, :]) & (size2[None, :] * 100 >= THRESHOLD * size[:, None]) & (label[:, None] != label2[None, :])
+            i, j = np.nonzero(like)
+            near = np.bitwise_count(sketch[i] ^ sketch2[j]).sum(axis=1, dtype=np.int64) <= SKETCH_LIMIT
+            i, j = i[near], j[near]
+            both = bands[i] == bands2[j]
+            first = np.where(both, bands[i], np.iinfo(np.int64).max).min(axis=1) == batch.column("band")[row].as_py()
+            pairs = np.unique(np.sort(np.stack([label[i[first]], label2[j[first]]], axis=1), axis=1), axis=0)
+            yield pa.record_batch([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["la", "lb"])
 
 
 def _link(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
@@ -316,5 +340,6 @@ def _link(pairs: DataFrame, sketches: DataFrame, docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs with one document of each group (the one of the least id); all columns kept."""
-    gone = stored(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(small_side(gone), docs["doc_id"] == F.col("_id"), "left_anti")
+    (name,) = unused(docs, "_id")
+    gone = stored(near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(small_side(gone), docs["doc_id"] == F.col(name), "left_anti")

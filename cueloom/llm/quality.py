@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cueloom.llm.common import small_side, split_words, stored
+from cueloom.llm.common import small_side, split_words, stored, unused
 
 GAP = r"[\x20\x09-\x0D]+"
 #: rule -> failed, over the measures below
@@ -26,7 +26,7 @@ RULES: dict[str, str] = {
 }
 BASE = ("short", "repeated")
 #: A host is rejected when the shrunk failure rate of any rule exceeds this.
-MAX_HOST_RATE = 0.8
+MAX_HOST_RATE = 0.5
 #: Bounds of the prior's strength in pseudo-documents.
 PRIOR_STRENGTH = (1.0, 1e6)
 
@@ -34,21 +34,22 @@ PRIOR_STRENGTH = (1.0, 1e6)
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (longs)."""
     kept = [c for c in docs.columns if c not in {"n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"}]
+    words, lines, grams, places = unused(docs, "_words", "_lines", "_grams", "_at")
     body = F.coalesce(F.col(text), F.lit(""))
     step = docs.select(
         *kept,
-        split_words(F.col(text), GAP).alias("_words"),
-        F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_lines"),
+        split_words(F.col(text), GAP).alias(words),
+        F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(lines),
     )
-    size = F.size("_words")
-    word = F.col("_words")
+    size = F.size(words)
+    word = F.col(words)
     step = step.withColumn(
-        "_grams",
+        grams,
         F.transform(F.slice(word, F.lit(1), F.greatest(size - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(word, i + 1), F.get(word, i + 2))),
     )
-    at = F.sort_array(F.transform("_grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    step = step.withColumn("_at", F.when(F.size(F.array_distinct("_grams")) < F.size("_grams"), at))
-    pair = F.col("_at")
+    at = F.sort_array(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
+    step = step.withColumn(places, F.when(F.size(F.array_distinct(grams)) < F.size(grams), at))
+    pair = F.col(places)
     twice = F.filter(pair, lambda x, k: F.coalesce(F.get(pair, k - 1)["g"] == x["g"], F.lit(False)) | F.coalesce(F.get(pair, k + 1)["g"] == x["g"], F.lit(False)))
     cover = F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2))))
     return step.select(
@@ -56,8 +57,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         size.cast("long").alias("n_words"),
         (F.char_length(body) - F.regexp_count(body, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.size(lines).cast("long").alias("n_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.when(pair.isNull(), 0).otherwise(F.size(cover)).cast("long").alias("n_repeat_words"),
     )
 

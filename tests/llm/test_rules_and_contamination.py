@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from cueloom.llm import decontaminate, quality
+from cueloom.llm import common, decontaminate, quality
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept string"
 
@@ -48,7 +48,8 @@ def test_measures(spark):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dups, repeat), text
         assert r.base_failed == (n < 50 or 100 * repeat > 50 * n)
-    assert got[8].kept and got[9].kept
+    # most texts of this only host are too short, so its verdict takes the good ones along
+    assert not got[8].base_failed and not got[9].base_failed and not any(r.host_kept for r in got.values())
 
 
 def test_host_verdict_is_shrunk(spark):
@@ -142,6 +143,15 @@ def test_contamination_of_equal_rows_and_null_ids(spark):
     assert decontaminate.drop_contaminated(docs, bench(spark)).count() == 2
 
 
+def test_many_grams_are_shuffled_with_few_words(spark, monkeypatch):
+    """Beyond the bound of a broadcast: the same result, and no row wider than 25 words."""
+    docs = frame(spark, [*BODIES, "lead in words " * 40 + " ".join(P[:13]) + " lead out words" * 40])
+    want = sorted(map(tuple, decontaminate.scan(docs, bench(spark)).collect()), key=repr)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    got = decontaminate.scan(docs, bench(spark))
+    assert sorted(map(tuple, got.collect()), key=repr) == want and any(r[5] for r in want)
+
+
 @pytest.mark.parametrize("items", [[], [(3, None)], [(4, "...")]])
 def test_nothing_to_find(spark, items):
     docs = frame(spark, BODIES)
@@ -161,5 +171,5 @@ def test_hosts_on_both_sides_of_the_bound(spark):
     measures = spark.createDataFrame([(h, 100, 500, s, n, 0, 0) for h, n, s in rows], "source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
     rates = {r["host"]: r["rate"] for r in quality.host_rates(measures).where("rule = 'symbols'").collect()}
     assert 0.5 < rates["under"] < 0.8 < rates["over"] < 0.9
-    assert [r["_host"] for r in quality.bad_hosts(measures).collect()] == ["over"]
-    assert sorted(r["_host"] for r in quality.bad_hosts(measures, max_rate=0.5).collect()) == ["over", "under"]
+    assert sorted(r["_host"] for r in quality.bad_hosts(measures).collect()) == ["over", "under"]
+    assert [r["_host"] for r in quality.bad_hosts(measures, max_rate=0.8).collect()] == ["over"]
