@@ -9,11 +9,15 @@ the article element around it, if there is one, siblings with a good share of it
 its runs are the text. What stands between the first and the last of them is kept too.
 
 A class or id marks a part by its first or last word (`ad-box`, `site-sidebar`), not if it tells of layout
-or state (`has-sidebar`, `social-enabled`), and not if the part holds the page's article or most of its points.
+or state (`has-sidebar`, `social-enabled`), and not if the part holds the page's article or most of its points;
+so does a form (some servers put one around the whole page). A name that opens with an article's topic
+(`related-work`) marks nothing, nor does a topic inside the article on a part with a heading and a paragraph.
+A menu, aside or header that is never closed ends where the article's elements begin.
 
 Defined results: null and empty html give an empty text, and so do pages without text outside the
 parts that are left out; repeated rows are extracted one by one. Broken markup (missing end tags,
-cut-off tags or comments) is read as browsers do: what a new block closes, it closes.
+cut-off tags or comments) is read as browsers do: what a new block closes, it closes. Equal scores go to the
+container that comes first; a very long page is read in one pass; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-LEFT_OUT = frozenset("aside button dialog dir fieldset footer form head iframe menu nav noscript object select svg template".split())
+LEFT_OUT = frozenset("aside button dialog dir fieldset footer head iframe menu nav noscript object select svg template".split())
 LEFT_OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words of class and id that mark parts which are no article.
 LEFT_OUT_WORDS = frozenset(
@@ -40,6 +44,12 @@ LEFT_OUT_WORDS = frozenset(
 HEADER_WORDS = frozenset(["header", "topbar"])
 #: Marks that hold whatever the size of the part: long comments, lists of other articles and consent texts are no article.
 FIRM_WORDS = frozenset("ad ads advert adverts advertisement advertising comment comments consent cookie cookies disqus gdpr login promoted promotion recommended related reply replies respond signup".split())
+#: Firm words that are topics of articles too: as the first word of a name they need one of a list or box behind them,
+#: and a part inside the article with a heading and a paragraph of its own is no list.
+TOPIC_WORDS = frozenset("consent cookie cookies gdpr login promoted promotion recommended related signup".split())
+BOX_WORDS = frozenset("area articles bar block box column container content entries feed form grid inner items links list module news panel posts reading row section stories topics unit widget wrap wrapper".split())
+#: What closes an element of a page that never closes it.
+UNCLOSED = {"nav": frozenset("article main section h1 h2 p".split()), "aside": frozenset("article main".split()), "header": frozenset("article main section".split())}
 #: Words of layout and state: with one of these a class tells what else the page has.
 STATE_WORDS = frozenset("active allowed closed disabled enabled has hidden layout no non not off on open ready visible with without".split())
 #: An opening li, td and so on closes an open one of these before the stop element.
@@ -48,6 +58,8 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl
 #: Least characters of a run that earns points, and the most points for length.
 RUN_CHARS = 25
 LENGTH_POINTS = 3
+#: Least characters of a paragraph that makes a headed part inside an article a part of it.
+PARAGRAPH_CHARS = 80
 ANCESTORS = 5
 SIBLING_SHARE = 0.2
 MENU_DENSITY = 0.6
@@ -68,7 +80,7 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 class _Page:
     def __init__(self) -> None:
         self.tag, self.parent, self.out, self.article = ["#"], [-1], [False], [False]
-        self.mark, self.main = [""], [False]  # left out by its class: "soft" or "firm"; main or article body
+        self.mark, self.main = [""], [False]  # left out by its class: "soft", "topic" or "firm"; main or article body
         self.score, self.text, self.links = [0.0], [0], [0]
         self.runs: list[tuple[int, str, int]] = []  # node, text, characters inside links
 
@@ -84,8 +96,8 @@ class _Page:
             # an article's own header may hold its heading; a page's header is left out
             out = out or tag == "header" and not inside
             if words & FIRM_WORDS & LEFT_OUT_WORDS:
-                mark = "firm"
-            elif words & LEFT_OUT_WORDS or words & HEADER_WORDS and not inside and tag not in HEADINGS:
+                mark = "topic" if inside and words & FIRM_WORDS & LEFT_OUT_WORDS <= TOPIC_WORDS else "firm"
+            elif tag == "form" or words & LEFT_OUT_WORDS or words & HEADER_WORDS and not inside and tag not in HEADINGS:
                 mark = "soft"
         elif article and {"comment", "comments", "reply"} & words:
             mark = "firm"
@@ -96,12 +108,14 @@ class _Page:
 
 
 def _marks(names: str) -> set[str]:
-    """First and last words of class and id names, without those of layout and state."""
+    """First and last words of class and id names, without those of layout and state and topics that only open a name."""
     out: set[str] = set()
     for name in names.split():
         words = [w.lower() for w in _WORDS.findall(name)]
         if words and STATE_WORDS.isdisjoint(words):
-            out |= {words[0], words[-1]}
+            out.add(words[-1])
+            if words[0] not in TOPIC_WORDS or BOX_WORDS.issuperset(words[1:]):
+                out.add(words[0])
     return out
 
 
@@ -115,10 +129,18 @@ def _leave_out(page: _Page) -> None:
     if not any(page.mark):
         return
     own = [0.0] * n
-    filled = [False] * n
+    filled, headed, told = [False] * n, [False] * n, [False] * n
     for node, text, links in page.runs:
         own[node] += _points(text, links)
         filled[node] = True
+        headed[node] |= page.tag[node] in HEADINGS
+        told[node] |= len(text) >= PARAGRAPH_CHARS and 4 * links < len(text)
+    for node in range(n - 1, 0, -1):
+        headed[page.parent[node]] |= headed[node]
+        told[page.parent[node]] |= told[node]
+    for node in range(1, n):
+        if page.mark[node] == "topic":
+            page.mark[node] = "" if headed[node] and told[node] else "firm"
     holds_main, firm, free = [False] * n, [False] * n, [True] * n
     for node in range(n - 1, 0, -1):
         filled[page.parent[node]] |= filled[node]
@@ -150,6 +172,8 @@ def _read(source: str) -> _Page:
     stack = [0]
     held: list[str] = []
     links = anchors = at = 0
+    low = source.lower()
+    endless = {t: by for t, by in UNCLOSED.items() if low.count(f"<{t}") > low.count(f"</{t}")}
 
     def flush() -> None:
         nonlocal held, links
@@ -191,6 +215,9 @@ def _read(source: str) -> _Page:
             if token["end"]:
                 close({tag}, frozenset())
                 continue
+            for open_, by in endless.items():
+                if tag in by:
+                    close({open_}, frozenset())
             close({"p"}, _NOT_P)
             if tag in CLOSES:
                 close(*CLOSES[tag])
