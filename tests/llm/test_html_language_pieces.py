@@ -158,7 +158,7 @@ LINKS = "<ul><li><a href=1>A report of the commission on inland waters, 2019</a>
         (f"<body><div id=x><p>{A}</p><div>Short one.</div>Bare words<div class=ad>buy</div><p>{B}</p></div></body>", f"{A}\n\nShort one.\n\nBare words\n\n{B}"),
         (f"<body><form id=aspnetForm><div><h1>Title</h1><p>{A}</p><p>{B}</p></div></form></body>", f"Title\n\n{A}\n\n{B}"),
         (f"<article><p>{A}</p><form><p>Subscribe to our letter, it is good for you.</p></form></article>", A),
-        (f"<article><p>{A}</p><section id=login><h2>Login</h2><p>{B}</p></section></article>", f"{A}\n\nLogin\n\n{B}"),
+        (f"<article><p>{A}</p><section id=login><h2>Login</h2><p>{B} {B}</p></section></article>", f"{A}\n\nLogin\n\n{B} {B}"),
         (f"<article><p>{A}</p><div class='related-work'><p>{B}</p></div></article>", f"{A}\n\n{B}"),
         (f"<article><p>{A}</p><div class='related-posts'><p>{B}</p></div></article>", A),
         (f"<body><nav><ul><li><a href=1>Home</a></ul><div><h1>Title</h1><p>{A}</p><p>{B}</p></div></body>", f"Title\n\n{A}\n\n{B}"),
