@@ -92,49 +92,75 @@ def _running_end(cues: DataFrame, keys: Sequence[str], idx: str) -> DataFrame:
     return scan(cues, keys, idx, {"_prev_end": ("max", "end_ms")})
 
 
-def qc_timing(cues: DataFrame, keys: Sequence[str] = ("media_id",), idx: str = "cue_idx") -> DataFrame:
-    d = _running_end(cues, keys, idx)
-    bad = F.col("end_ms") <= F.col("start_ms")
-    over = F.col("start_ms") < F.col("_prev_end")
-    return d.where(bad | over).select(*keys, *_finding("timing", "timing_difference", F.when(bad, "non-positive duration").otherwise("overlaps previous cue"), 0.9, idx))
+def _fault(stage: str, category: str, reason: str | Column, confidence: float | Column) -> Column:
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    return F.struct(F.lit(stage).alias("s"), F.lit(category).alias("c"), lit(reason).alias("r"), lit(confidence).cast("double").alias("p"))
 
 
-def qc_readability(cues: DataFrame, keys: Sequence[str] = ("media_id",), idx: str = "cue_idx", limits: Constraints = Constraints()) -> DataFrame:
-    """At most one finding per cue, in rule order."""
+def _timing_faults() -> list[Column]:
+    bad, over = F.col("end_ms") <= F.col("start_ms"), F.col("start_ms") < F.col("_prev_end")
+    return [F.when(bad | over, _fault("timing", "timing_difference", F.when(bad, "non-positive duration").otherwise("overlaps previous cue"), 0.9))]
+
+
+def _readability_faults(limits: Constraints) -> list[Column]:
     ms = F.col("end_ms") - F.col("start_ms")
-    long_line = F.exists("lines", lambda x: F.length(x) > limits.max_line_chars)
-    fast = (ms > 0) & (F.length("text") * 1000 > F.lit(limits.max_cps) * ms)
     rules = [
         (F.size("lines") > limits.max_lines, "too many lines", 0.8),
-        (long_line, "a line exceeds max character length", 0.6),
+        (F.exists("lines", lambda x: F.length(x) > limits.max_line_chars), "a line exceeds max character length", 0.6),
         (ms < limits.min_ms, "duration below minimum", DURATION_CONFIDENCE),
         (ms > limits.max_ms, "duration exceeds maximum", DURATION_CONFIDENCE),
-        (fast, "reading speed exceeds maximum", 0.5),
+        ((ms > 0) & (F.length("text") * 1000 > F.lit(limits.max_cps) * ms), "reading speed exceeds maximum", 0.5),
     ]
-    rule = F.coalesce(*[F.when(c, F.struct(F.lit(why).alias("r"), F.lit(conf).alias("p"))) for c, why, conf in rules])
-    hits = cues.withColumn("_r", rule).where(F.col("_r").isNotNull())
-    return hits.select(*keys, *_finding("readability", "readability_error", F.col("_r.r"), F.col("_r.p"), idx))
+    return [F.coalesce(*[F.when(c, _fault("readability", "readability_error", why, conf)) for c, why, conf in rules])]
+
+
+def _output_faults(empty: Column, slack_ms: int) -> list[Column]:
+    timing = F.when(F.col("end_ms") <= F.col("start_ms"), "non-positive duration").when(F.col("start_ms") < F.col("_prev_end") - slack_ms, "overlaps previous cue")
+    return [F.when(empty, _fault("output", "readability_error", "empty cue text", 1.0)), F.when(timing.isNotNull(), _fault("output", "timing_difference", timing, 1.0))]
+
+
+def _found(d: DataFrame, faults: Sequence[Column], keys: Sequence[str], idx: str) -> DataFrame:
+    hits = d.select(*keys, idx, F.explode(F.array_compact(F.array(*faults))).alias("_f"))
+    return hits.select(*keys, F.col("_f.s").alias("stage"), F.col("_f.c").alias("category"), F.col("_f.r").alias("reason"), F.col("_f.p").alias("confidence"), F.col(idx).cast("bigint").alias("index"))
+
+
+def _is_empty() -> Column:
+    return X.strip("text") == ""
+
+
+def qc_timing(cues: DataFrame, keys: Sequence[str] = ("media_id",), idx: str = "cue_idx") -> DataFrame:
+    return _found(_running_end(cues, keys, idx), _timing_faults(), keys, idx)
+
+
+def qc_readability(cues: DataFrame, keys: Sequence[str] = ("media_id",), idx: str = "cue_idx", limits: Constraints = Constraints()) -> DataFrame:
+    """At most one finding per cue, in rule order."""
+    return _found(cues, _readability_faults(limits), keys, idx)
 
 
 def qc_output(cues: DataFrame, keys: Sequence[str] = ("media_id",), idx: str = "cue_idx", slack_ms: int = 10) -> DataFrame:
     """Validity of written cues; an empty text may co-occur with a timing fault."""
-    d = _running_end(cues, keys, idx)
-    timing = F.when(F.col("end_ms") <= F.col("start_ms"), "non-positive duration").when(F.col("start_ms") < F.col("_prev_end") - slack_ms, "overlaps previous cue")
-    faults = F.array_compact(F.array(
-        F.when(X.strip("text") == "", F.struct(F.lit("readability_error").alias("c"), F.lit("empty cue text").alias("r"))),
-        F.when(timing.isNotNull(), F.struct(F.lit("timing_difference").alias("c"), timing.alias("r"))),
-    ))
-    d = d.select(*keys, idx, F.explode(faults).alias("_f"))
-    return d.select(*keys, *_finding("output", F.col("_f.c"), F.col("_f.r"), 1.0, idx))
-
-
-def qc_summary(findings: DataFrame, populations: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Denominators and flagged counts per stage; stages without findings stay at zero."""
-    hits = findings.groupBy(*keys, "stage").agg(F.count("*").alias("flagged"))
-    return populations.join(hits, [*keys, "stage"], "left").select(
-        *keys, "stage", "population", F.coalesce("flagged", F.lit(0)).alias("flagged"),
-        *[F.lit(0).cast("bigint").alias(c) for c in ("retried", "improved", "unresolved")],
-    )
+    return _found(_running_end(cues, keys, idx), _output_faults(_is_empty(), slack_ms), keys, idx)
+
+
+def qc_cues(cues: DataFrame, keys: Sequence[str] = ("media_id",), idx: str = "cue_idx", limits: Constraints = Constraints(), slack_ms: int = 10) -> DataFrame:
+    """Timing, readability and output findings in one pass: the running end is taken once, over rows without their texts."""
+    slim = cues.select(*keys, idx, "start_ms", "end_ms", _readability_faults(limits)[0].alias("_r"), _is_empty().alias("_empty"))
+    d = _running_end(slim, keys, idx)
+    return _found(d, [*_timing_faults(), F.col("_r"), *_output_faults(F.col("_empty"), slack_ms)], keys, idx)
+
+
+def qc_summary(findings: DataFrame, populations: DataFrame, keys: Sequence[str] = (), retried: Column | None = None, improved: Column | None = None) -> DataFrame:
+    """Denominators and counts per stage; stages without findings stay at zero.
+
+    ``retried`` and ``improved`` say of a finding whether it had a second attempt and whether that was better;
+    a retried finding that is not (or not known to be) improved is unresolved. Without them nobody retried.
+    """
+    by = [*keys, "stage"]
+    again = F.coalesce(retried, F.lit(False)) if retried is not None else F.lit(False)
+    good = again & (F.coalesce(improved, F.lit(False)) if improved is not None else F.lit(False))
+    counts = {"flagged": F.lit(True), "retried": again, "improved": good, "unresolved": again & ~good}
+    hits = findings.groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
+    return populations.join(hits, by, "left").select(*by, "population", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counts])
 
 
 def review_flag(category: Column, confidence: Column) -> Column:

@@ -1,7 +1,5 @@
 """F rows: quality control over cues, translations and job reports."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from cueloom.operators import qc as Q
@@ -30,8 +28,7 @@ FROM {RUN} WHERE end_ms <= start_ms OR start_ms < prev_end - 10"""
 
 
 def cue_findings(fx):
-    c = fx.messy_cues
-    return reduce(lambda a, b: a.unionByName(b), [Q.qc_timing(c), Q.qc_readability(c), Q.qc_output(c)])
+    return Q.qc_cues(fx.messy_cues)
 
 
 @query("f2_qc_translation", r"""
@@ -78,13 +75,15 @@ def _(fx):
 
 
 @query("f8_qc_summary", f"""
-WITH f AS (SELECT 'timing' AS stage, count(*) AS flagged FROM ({F5}) UNION ALL SELECT 'readability', count(*) FROM ({F6}) UNION ALL SELECT 'output', count(*) FROM ({F7})
-  UNION ALL SELECT 'segmentation', 0)
-SELECT stage, (SELECT count(*) FROM fx_cues) AS population, flagged, 0::BIGINT AS retried, 0::BIGINT AS improved, 0::BIGINT AS unresolved FROM f""")
+WITH f AS (SELECT 'timing' AS stage, media_id, "index" FROM ({F5}) UNION ALL SELECT 'readability', media_id, "index" FROM ({F6}) UNION ALL SELECT 'output', media_id, "index" FROM ({F7})),
+g AS (SELECT stage, (media_id + "index") % 3 = 0 AS again, CASE WHEN "index" % 5 = 0 THEN NULL ELSE "index" % 2 = 0 END AS better FROM f)
+SELECT s.stage, (SELECT count(*) FROM fx_cues) AS population, count(g.stage) AS flagged, count(*) FILTER (again) AS retried, count(*) FILTER (again AND better) AS improved, count(*) FILTER (again AND better IS NOT TRUE) AS unresolved
+FROM (SELECT unnest(['timing', 'readability', 'output', 'segmentation']) AS stage) s LEFT JOIN g USING (stage) GROUP BY s.stage""")
 def _(fx):
     stages = F.explode(F.array(*map(F.lit, ["timing", "readability", "output", "segmentation"])))
     pop = fx.cues.agg(F.count("*").alias("population")).select(stages.alias("stage"), "population")
-    return Q.qc_summary(cue_findings(fx), pop)
+    better = F.when(F.col("index") % 5 != 0, F.col("index") % 2 == 0)
+    return Q.qc_summary(cue_findings(fx), pop, retried=(F.col("media_id") + F.col("index")) % 3 == 0, improved=better)
 
 
 @query("f9_needs_review", f"""
