@@ -67,8 +67,10 @@ def _fold_unicode(text: pd.Series) -> pd.Series:
 
 
 def fold(text: str | Column) -> Column:
-    """Accent- and case-free form; pure ASCII stays in the JVM."""
-    return _fold_unicode(_col(text))
+    """Accent- and case-free form; pure ASCII is folded in the JVM, only other text by the UDF."""
+    c = _col(text)
+    ascii_ = F.octet_length(c) == F.char_length(c)
+    return F.when(ascii_, F.lower(c)).otherwise(_fold_unicode(F.when(~ascii_, c)))
 
 
 def fold_ascii_first(text: str | Column) -> tuple[Column, Column]:

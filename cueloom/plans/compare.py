@@ -119,7 +119,11 @@ def spoken_refs(fx):
 
 HOLES = """src AS (SELECT media_id, cue_idx, start_ms, CASE WHEN (media_id + cue_idx) % 5 <= 2 THEN start_ms + 20 ELSE end_ms END AS end_ms, text FROM fx_cues),
 ref AS (SELECT media_id, cue_idx, start_ms, end_ms, CASE (media_id*3 + cue_idx) % 13 WHEN 0 THEN '♪ la la ♪' WHEN 1 THEN 'Ha ha ha...' WHEN 2 THEN '(coughs) Ouch!' WHEN 3 THEN '(door)' ELSE text END AS text, (media_id*3 + cue_idx) % 13 AS h FROM fx_ref_cues),
-unc AS (SELECT r.* FROM ref r WHERE coalesce((SELECT sum(least(s.end_ms, r.end_ms) - greatest(s.start_ms, r.start_ms)) FROM src s WHERE s.media_id = r.media_id AND least(s.end_ms, r.end_ms) > greatest(s.start_ms, r.start_ms)), 0) < 0.1 * (r.end_ms - r.start_ms))"""
+sb AS (SELECT *, unnest(range(start_ms // 60000, end_ms // 60000 + 1)) AS k FROM src),
+rb AS (SELECT *, unnest(range(start_ms // 60000, end_ms // 60000 + 1)) AS k FROM ref),
+ov AS (SELECT r.media_id, r.cue_idx, sum(least(s.end_ms, r.end_ms) - greatest(s.start_ms, r.start_ms)) AS o FROM rb r JOIN sb s ON s.media_id = r.media_id AND s.k = r.k
+  WHERE least(s.end_ms, r.end_ms) > greatest(s.start_ms, r.start_ms) AND r.k = greatest(s.start_ms // 60000, r.start_ms // 60000) GROUP BY 1, 2),
+unc AS (SELECT r.* FROM ref r LEFT JOIN ov USING (media_id, cue_idx) WHERE coalesce(o, 0) < 0.1 * (r.end_ms - r.start_ms))"""
 
 GAPS = HOLES + r""",
 cl AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(text, '\([^)]*\)|\[[^\]]*\]|♪|♫', ' ', 'g'), '(^|\s)-\s*', ' ', 'g'), '\s+', ' ', 'g')) AS c FROM unc),
