@@ -263,14 +263,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = stored(heads.select(F.col("doc_id").alias("node"), "n_shingles", *_SKETCH, "bands"))
     sketches = heads.drop("bands")
     exploded = heads.select("node", F.explode("bands").alias("band"))
-    shared = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("band")
+    # written first, so that both sides of the joins on a band are plain shuffles whose large partitions Spark splits
+    shared = stored(exploded.groupBy("band").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("band"))
     members = stored(exploded.join(shared, "band"))
     nodes = sketches.select("node", F.col("node").alias("label"))
     links = None
     apart = members.withColumn("label", F.col("node"))
     for number in range(PIVOT_ROUNDS):
         order = F.struct(F.xxhash64(F.lit(number), "node").alias("h"), "node", "label") if number else F.struct(F.col("node").alias("h"), "node", "label")
-        pivots = apart.groupBy("band").agg(F.min(order).alias("p"))
+        pivots = stored(apart.groupBy("band").agg(F.min(order).alias("p")))
         met = apart.join(pivots, "band").where(F.col("label") != F.col("p.label"))
         stars = met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
         found = _link(stars, sketches, docs)
@@ -278,7 +279,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(links)
         nodes = labels
         named = members.join(labels, "node", "left").select("node", "band", F.coalesce("label", "node").alias("label"))
-        open_bands = named.groupBy("band").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("band")
+        open_bands = stored(named.groupBy("band").agg(F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a <> _b").select("band"))
         apart = stored(named.join(open_bands, "band"))
     known = stored(sketches.select("node").join(nodes, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     more = _links_between(stored(_label_pairs(apart, heads)), known, docs)
