@@ -79,10 +79,12 @@ def recurrence_score(segments: DataFrame, key: str = "media_id") -> DataFrame:
     seen = d.where(F.col("_norm").isNotNull()).groupBy(key, "_norm").agg(
         F.count("*").alias("_n"), F.min("start_ms").alias("_lo"), F.max("start_ms").alias("_hi")).where("_n >= 3")
     length = segments.groupBy(key).agg(F.max("end_ms").alias("_dur"))
-    d = d.join(seen, [key, "_norm"], "left").join(length, key)
     spread = F.when(F.col("_dur") > 0, (F.col("_hi") - F.col("_lo")) / F.col("_dur")).otherwise(0.0)
     score = F.least(F.lit(1.0), 0.5 * F.least(F.lit(1.0), (F.col("_n") - 1) / 4) + 0.5 * F.least(F.lit(1.0), spread / 0.3))
-    return d.select(*segments.columns, F.when(F.col("_n").isNotNull(), score).otherwise(0.0).alias("recurrence"))
+    # scored per recurring text, so segments with their texts move once, for the join back
+    scored = seen.join(length, key).select(key, "_norm", score.alias("recurrence"))
+    kept = [c for c in segments.columns if c != "recurrence"]
+    return d.drop("recurrence").join(scored, [key, "_norm"], "left").select(*kept, F.coalesce("recurrence", F.lit(0.0)).alias("recurrence"))
 
 
 def combine_scores(d: DataFrame) -> DataFrame:
