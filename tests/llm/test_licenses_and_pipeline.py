@@ -139,7 +139,7 @@ def test_pipeline_of_odd_rows(spark):
 def test_registry_without_the_folder(monkeypatch):
     import __spark_entry__
 
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in __spark_entry__.queries() if q.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in __spark_entry__.queries() if q.startswith("op")}
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     monkeypatch.delitem(sys.modules, "corpus_pipeline")
     finder = type("Gone", (), {"find_spec": staticmethod(lambda name, path=None, target=None: (_ for _ in ()).throw(ModuleNotFoundError(name=name)) if name == "corpus_pipeline" else None)})
