@@ -66,17 +66,20 @@ def boundary_score(left: Column, right: Column, lex: Lexicon = ENGLISH) -> Colum
 
 def wrap_lines(text: Column, limit: int = 42, lex: Lexicon = ENGLISH) -> Column:
     """At most two lines, balanced and cut at the best boundary that fits."""
-    w = X.words(text)
-    n = F.size(w)
 
-    def option(i: Column) -> Column:
-        a, b = F.array_join(F.slice(w, F.lit(1), i), " "), F.array_join(F.slice(w, i + 1, n), " ")
-        over = (F.length(a) > limit) | (F.length(b) > limit)
-        cost = F.when(over, F.greatest(F.length(a), F.length(b))).otherwise(F.abs(F.length(a) - F.length(b)) - 2 * boundary_score(a, b, lex))
-        return F.struct(over.alias("over"), cost.alias("cost"), i.alias("i"), F.array(a, b).alias("lines"))
+    def option(h: Column) -> Column:
+        a, b = h["a"], h["b"]
+        over = (h["m"] > limit) | (h["n"] > limit)
+        cost = F.when(over, F.greatest(h["m"], h["n"])).otherwise(F.abs(h["m"] - h["n"]) - 2 * boundary_score(a, b, lex))
+        return F.struct(over.alias("over"), cost.alias("cost"), h["i"].alias("i"), F.array(a, b).alias("lines"))
+
+    def best(w: Column) -> Column:
+        n = F.size(w)
+        halves = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(w, F.lit(1), i), " ").alias("a"), F.array_join(F.slice(w, i + 1, n), " ").alias("b")))
+        sized = F.transform(halves, lambda h: F.struct(h["i"].alias("i"), h["a"].alias("a"), h["b"].alias("b"), F.length(h["a"]).alias("m"), F.length(h["b"]).alias("n")))
+        return F.when(n < 2, F.array(text)).otherwise(F.array_min(F.transform(sized, option))["lines"])
 
-    best = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), option))
-    return F.when((F.length(text) <= limit) | (n < 2), F.array(text)).otherwise(best["lines"])
+    return F.when(F.length(text) <= limit, F.array(text)).otherwise(X.held(X.words(text), best))
 
 
 def heuristic_turns(words: DataFrame, key: str = "media_id", idx: str = "word_idx") -> DataFrame:
@@ -223,14 +226,17 @@ def orphan_spans(spans: DataFrame, key: str = "media_id", idx: str = "span_idx")
 
 def strip_affix(padded: Column, anchor: Column, before: Column) -> Column:
     """What remains after removing the anchor's words; NULL unless they match exactly."""
-    p, a = X.words(padded), X.words(anchor)
-    n, m = F.size(p), F.size(a)
     norm = lambda ws: F.transform(ws, lambda w: X.strip_chars(F.lower(w), AFFIX_STRIP))
-    head = F.slice(p, F.lit(1), m)
-    tail = F.slice(p, F.greatest(n - m + 1, F.lit(1)), m)
-    rest = F.when(before, F.slice(p, m + 1, n)).otherwise(F.slice(p, F.lit(1), F.greatest(n - m, F.lit(0))))
-    ok = (m > 0) & (n > m) & (norm(F.when(before, head).otherwise(tail)) == norm(a))
-    return F.when(ok, F.nullif(F.array_join(rest, " "), F.lit("")))
+
+    def remains(s: Column) -> Column:
+        p, a, n, m = s["p"], s["a"], F.size(s["p"]), F.size(s["a"])
+        head = F.slice(p, F.lit(1), m)
+        tail = F.slice(p, F.greatest(n - m + 1, F.lit(1)), m)
+        rest = F.when(s["before"], F.slice(p, m + 1, n)).otherwise(F.slice(p, F.lit(1), F.greatest(n - m, F.lit(0))))
+        ok = (m > 0) & (n > m) & (norm(F.when(s["before"], head).otherwise(tail)) == norm(a))
+        return F.when(ok, X.held(F.array_join(rest, " "), lambda r: F.when(r != "", r)))
+
+    return X.held(F.struct(X.words(padded).alias("p"), X.words(anchor).alias("a"), before.alias("before")), remains)
 
 
 def _runs(clauses: DataFrame, source: str, key: str, idx: str, min_prob: float, supported: Sequence[str] | None) -> DataFrame:
