@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cueloom.functions import text as X
 from cueloom.functions.sequence import once, scan
+from cueloom.session import cut_lineage
 
 # Titles, non-characters, annotations and gates.
 PREFIX_TITLES = """chef dr dr. doctor mr mr. mrs mrs. ms ms. miss prof prof. professor officer detective captain uncle aunt grandma grandpa young little old
@@ -28,27 +29,34 @@ MIN_FAILURES, FAILURE_PCT = 2, 10
 def parse_credit(raw: str | Column) -> Column:
     """(given, full_name, nicknames) of a character credit, or NULL."""
     r = F.col(raw) if isinstance(raw, str) else raw
-    quoted = F.filter(F.transform(F.regexp_extract_all(r, F.lit(QUOTED), F.lit(1)), X.strip), lambda n: n != "")
-    bare = F.regexp_replace(r, QUOTED, " ")
-    inner = F.regexp_extract_all(bare, F.lit(r"\(([^)]*)\)"), F.lit(1))
+    titled = lambda titles: lambda a, w: X.held(a["go"] & X.casefold(w).isin(*titles), lambda on: F.struct((a["n"] + on.cast("int")).alias("n"), on.alias("go")))
+    count = lambda words, titles: F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), titled(titles))["n"]
 
     def is_nickname(i: Column) -> Column:
-        w = X.words(i)
-        first = F.get(w, F.lit(0))
-        named = first.rlike(r"^\p{Lu}|[^\x00-\x7F]")
-        return F.size(w).between(1, 2) & F.coalesce(named, F.lit(False)) & ~F.exists(w, lambda x: X.casefold(x).isin(*ANNOTATIONS))
-
-    nick = F.concat(quoted, F.transform(F.filter(inner, is_nickname), X.strip))
-    name = F.split_part(F.regexp_replace(bare, r"\([^)]*\)", " "), F.lit("/"), F.lit(1))
-    words = X.words(name)
-    lead = F.aggregate(words, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, w: F.struct((a["n"] + (a["go"] & X.casefold(w).isin(*PREFIX_TITLES)).cast("int")).alias("n"), (a["go"] & X.casefold(w).isin(*PREFIX_TITLES)).alias("go")))["n"]
-    kept = F.slice(words, lead + 1, F.size(words))
-    tail = F.aggregate(F.reverse(kept), F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda a, w: F.struct((a["n"] + (a["go"] & X.casefold(w).isin(*SUFFIX_TITLES)).cast("int")).alias("n"), (a["go"] & X.casefold(w).isin(*SUFFIX_TITLES)).alias("go")))["n"]
-    kept = F.slice(kept, F.lit(1), F.size(kept) - tail)
-    full = F.array_join(kept, " ")
-    given = F.get(kept, F.lit(0))
-    good = (F.size(kept) > 0) & ~X.casefold(full).isin(*NOT_CHARACTERS) & given.rlike(r"^\p{L}")
-    return F.when(good, F.struct(given.alias("given"), full.alias("full_name"), nick.alias("nicknames")))
+        def short_name(w: Column) -> Column:
+            named = F.get(w, F.lit(0)).rlike(r"^\p{Lu}|[^\x00-\x7F]")
+            return F.size(w).between(1, 2) & F.coalesce(named, F.lit(False)) & ~F.exists(w, lambda x: X.casefold(x).isin(*ANNOTATIONS))
+
+        return X.held(X.words(i), short_name)
+
+    def credit(bare: Column) -> Column:
+        quoted = F.filter(F.transform(F.regexp_extract_all(r, F.lit(QUOTED), F.lit(1)), X.strip), lambda n: n != "")
+        inner = F.regexp_extract_all(bare, F.lit(r"\(([^)]*)\)"), F.lit(1))
+        nick = F.concat(quoted, F.transform(F.filter(inner, is_nickname), X.strip))
+        name = F.split_part(F.regexp_replace(bare, r"\([^)]*\)", " "), F.lit("/"), F.lit(1))
+
+        def row(kept: Column) -> Column:
+            def named(full: Column) -> Column:
+                given = F.get(kept, F.lit(0))
+                good = (F.size(kept) > 0) & ~X.casefold(full).isin(*NOT_CHARACTERS) & given.rlike(r"^\p{L}")
+                return F.when(good, F.struct(given.alias("given"), full.alias("full_name"), nick.alias("nicknames")))
+
+            return X.held(F.array_join(kept, " "), named)
+
+        led = X.held(X.words(name), lambda ws: F.slice(ws, count(ws, PREFIX_TITLES) + 1, F.size(ws)))
+        return X.held(X.held(led, lambda ws: F.slice(ws, F.lit(1), F.size(ws) - count(F.reverse(ws), SUFFIX_TITLES))), row)
+
+    return X.held(F.regexp_replace(r, QUOTED, " "), credit)
 
 
 def parse_credits(credits: DataFrame, column: str = "character") -> DataFrame:
@@ -62,15 +70,19 @@ def build_cast(parsed: DataFrame, series: str = "series") -> DataFrame:
     Every set is built from pre-distinct rows, so a name credited in a third of
     all rows is reduced before it is gathered.
     """
-    d = parsed.withColumn("member", X.fold("given"))
-    spelled = d.groupBy(series, "member", "given").agg(F.count("*").alias("_n"))
-    shown = spelled.groupBy(series, "member").agg(F.max_by("given", F.struct(F.col("given").rlike(r"[^\x00-\x7F]"), "_n", F.transform(F.split("given", ""), lambda c: -F.ascii(c)))).alias("given"))
-    eps = d.groupBy(series, "member").agg(
-        F.array_sort(F.collect_set(F.when(F.col("full_name") != F.col("given"), F.col("full_name")))).alias("full_names"), F.array_sort(F.collect_set("source")).alias("sources"),
-        F.array_sort(F.collect_set(F.when(F.col("episode").isNotNull(), F.struct("season", "episode")))).alias("episodes"), F.bool_or(F.col("episode").isNull()).alias("series_level"))
-    nicks = d.select(series, "member", F.explode("nicknames").alias("_k")).distinct().withColumn("_kf", X.fold("_k")).where("_kf <> member")
+    full = F.when(F.col("full_name") != F.col("given"), F.col("full_name"))
+    episode = F.when(F.col("episode").isNotNull(), F.struct("season", "episode"))
+    per = parsed.groupBy(series, "given").agg(
+        F.count("*").alias("_n"), F.collect_set(full).alias("_full"), F.collect_set("source").alias("_source"), F.collect_set(episode).alias("_episode"),
+        F.bool_or(F.col("episode").isNull()).alias("_level"), F.array_distinct(F.flatten(F.collect_set("nicknames"))).alias("_nick"))
+    # spellings and nicknames both read it; names are folded once per spelling
+    d = cut_lineage(per.withColumn("member", X.fold("given")))
+    united = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_list(c))))
+    shown = F.max_by("given", F.struct(F.col("given").rlike(r"[^\x00-\x7F]"), "_n", F.transform(F.split("given", ""), lambda c: -F.ascii(c))))
+    members = d.groupBy(series, "member").agg(shown.alias("given"), united("_full").alias("full_names"), united("_source").alias("sources"), united("_episode").alias("episodes"), F.bool_or("_level").alias("series_level"))
+    nicks = d.select(series, "member", F.explode("_nick").alias("_k")).distinct().withColumn("_kf", X.fold("_k")).where("_kf <> member")
     nicks = nicks.groupBy(series, "member").agg(F.array_sort(F.collect_set("_k")).alias("nicknames"))
-    return shown.join(eps, [series, "member"]).join(nicks, [series, "member"], "left").withColumn("nicknames", F.coalesce("nicknames", F.array().cast("array<string>")))
+    return members.join(nicks, [series, "member"], "left").withColumn("nicknames", F.coalesce("nicknames", F.array().cast("array<string>")))
 
 
 def scope_for(cast: DataFrame, known: DataFrame, series: str = "series") -> DataFrame:
