@@ -13,7 +13,7 @@ from cueloom.sources import subtitles as S
 def files(fx, block, head="", sep="\n"):
     """One subtitle file per track: blocks joined by a line break."""
     c = fx.cues.select("media_id", F.struct("cue_idx", block.alias("b")).alias("s"))
-    d = c.groupBy("media_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["b"]), sep).alias("c"))
+    d = c.groupBy("media_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["b"]), sep).alias("c"))
     return d.select(F.col("media_id").alias("path"), F.concat(F.lit(head), "c").alias("content"))
 
 

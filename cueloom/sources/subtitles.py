@@ -35,8 +35,13 @@ def clean_content(content: Column) -> Column:
     return F.replace(F.regexp_replace(content, "^﻿", ""), F.lit("\r\n"), F.lit("\n"))
 
 
-def _millis(line: Column, pattern: str, first: int) -> Column:
-    g = lambda i: F.coalesce(F.nullif(F.regexp_extract(line, pattern, i), F.lit("")).cast("bigint"), F.lit(0))
+def _times(line: Column, pattern: str) -> Column:
+    """The eight numbers of a stamp line as strings, from one match; NULL where it has none."""
+    return F.when(line.rlike(pattern), F.split(F.regexp_replace(line, rf"(?s)^.*?(?-s:{pattern}).*\z", "$1,$2,$3,$4,$5,$6,$7,$8"), ","))
+
+
+def _millis(times: Column, first: int) -> Column:
+    g = lambda i: F.coalesce(F.when(F.get(times, F.lit(i)) != "", F.get(times, F.lit(i)).cast("bigint")), F.lit(0))
     return g(first) * 3600000 + g(first + 1) * 60000 + g(first + 2) * 1000 + g(first + 3)
 
 
@@ -45,7 +50,7 @@ def _block_lines(block: Column) -> Column:
 
 
 def _cue(line: Column, pattern: str, lines: Column) -> Column:
-    return F.struct(_millis(line, pattern, 1).alias("start_ms"), _millis(line, pattern, 5).alias("end_ms"), lines.alias("lines"))
+    return X.held(_times(line, pattern), lambda at: F.struct(_millis(at, 0).alias("start_ms"), _millis(at, 4).alias("end_ms"), lines.alias("lines")))
 
 
 def _exploded(files: DataFrame, cues: Column, key: str) -> DataFrame:
@@ -91,13 +96,18 @@ def parse_cues_strict(files: DataFrame, key: str = "path", max_bytes: int = MAX_
 
     def judged(b: Column) -> Column:
         head, stamp = X.strip(F.get(b, F.lit(0))), X.strip(F.coalesce(F.get(b, F.lit(1)), F.lit("")))
-        start, end = _millis(stamp, STAMP_LINE, 1), _millis(stamp, STAMP_LINE, 5)
-        fault = (
-            F.when(F.size(b) < 2, "missing timestamp line").when(~head.rlike(r"^[+-]?\d+$"), "cue number is not an integer")
-            .when(~stamp.rlike(STAMP_LINE), "malformed timestamp line").when(end < start, "end timestamp is before start timestamp")
-        )
         text = X.strip(F.array_join(F.slice(b, F.lit(3), F.size(b)), "\n"))
-        return F.struct(fault.alias("fault"), F.when(fault.isNull(), head.try_cast("bigint")).alias("number"), start.alias("start_ms"), end.alias("end_ms"), text.alias("text"))
+
+        def row(s: Column) -> Column:
+            head, start, end = s["head"], s["start"], s["end"]
+            fault = (
+                F.when(F.size(b) < 2, "missing timestamp line").when(~head.rlike(r"^[+-]?\d+$"), "cue number is not an integer")
+                .when(~s["stamped"], "malformed timestamp line").when(end < start, "end timestamp is before start timestamp")
+            )
+            return X.held(fault, lambda f: F.struct(f.alias("fault"), F.when(f.isNull(), head.try_cast("bigint")).alias("number"), start.alias("start_ms"), end.alias("end_ms"), text.alias("text")))
+
+        times = X.held(stamp, lambda s: _times(s, STAMP_LINE))
+        return X.held(times, lambda at: X.held(F.struct(head.alias("head"), at.isNotNull().alias("stamped"), _millis(at, 0).alias("start"), _millis(at, 4).alias("end")), row))
 
     d = body.select(key, "_big", once(F.transform(blocks, judged)).alias("_b"))
     first = F.get(F.filter("_b", lambda b: b["fault"].isNotNull()), F.lit(0))["fault"]
@@ -123,10 +133,14 @@ def parse_webvtt(files: DataFrame, key: str = "path") -> tuple[DataFrame, DataFr
     def judged(b: Column) -> Column:
         second = F.coalesce(F.get(b, F.lit(1)), F.lit(""))
         at = F.when(F.contains(F.get(b, F.lit(0)), F.lit("-->")), 0).when(F.contains(second, F.lit("-->")), 1)
-        stamp = F.coalesce(F.get(b, F.coalesce(at, F.lit(0))), F.lit(""))
-        fault = F.when(at.isNull(), "missing timing line").when(~stamp.rlike(VTT_STAMP), "malformed timing line")
-        lines = F.transform(F.slice(b, F.coalesce(at, F.lit(0)) + 2, F.size(b)), lambda x: F.regexp_replace(x, "<[^>]*>", ""))
-        return F.struct(fault.alias("fault"), _millis(stamp, VTT_STAMP, 1).alias("start_ms"), _millis(stamp, VTT_STAMP, 5).alias("end_ms"), lines.alias("lines"))
+
+        def row(at: Column) -> Column:
+            lines = F.transform(F.slice(b, F.coalesce(at, F.lit(0)) + 2, F.size(b)), lambda x: F.regexp_replace(x, "<[^>]*>", ""))
+            stamp = F.coalesce(F.get(b, F.coalesce(at, F.lit(0))), F.lit(""))
+            fault = lambda t: F.when(at.isNull(), "missing timing line").when(t.isNull(), "malformed timing line")
+            return X.held(X.held(stamp, lambda s: _times(s, VTT_STAMP)), lambda t: F.struct(fault(t).alias("fault"), _millis(t, 0).alias("start_ms"), _millis(t, 4).alias("end_ms"), lines.alias("lines")))
+
+        return X.held(at, row)
 
     d = body.select(key, once(F.transform(kept, judged)).alias("_b"))
     d = d.select(key, "_b", F.get(F.filter("_b", lambda b: b["fault"].isNotNull()), F.lit(0))["fault"].alias("fault"))
