@@ -126,18 +126,23 @@ def retry_lineage(jobs: DataFrame, id_col: str = "id", parent_col: str = "retry_
     they come back with a null root and depth.
     """
     links = jobs.select(F.col(id_col).alias("id"), F.col(parent_col).alias("_p"))
-    known = jobs.select(F.col(id_col).alias("_p")).distinct().withColumn("_known", F.lit(True))
+    known_ids = jobs.select(F.col(id_col).alias("_p")).distinct().withColumn("_known", F.lit(True))
     # an attempt whose parent row is gone is its own root; `up` is null at a root
-    links = links.join(known, "_p", "left").select("id", F.when(F.col("_known"), F.col("_p")).alias("up"), F.col("id").alias("top"), F.lit(0).cast("bigint").alias("depth"))
-    links = links.withColumn("top", F.coalesce("up", "id")).withColumn("depth", F.col("up").isNotNull().cast("bigint"))
+    # rows without a parent never move: as null keys of a join they would all meet in one task
+    first = lambda d, up: d.select("id", up.alias("up"), F.coalesce(up, "id").alias("top"), up.isNotNull().cast("bigint").alias("depth"))
+    known = F.when(F.col("_known"), F.col("_p"))
+    tried = cut_lineage(first(links.where("_p IS NOT NULL").join(known_ids, "_p", "left"), known))
+    roots = first(links.where("_p IS NULL"), F.lit(None).cast(tried.schema["up"].dataType)).unionByName(tried.where("depth = 0"))
+    links = tried.where("depth > 0")
     # chains of distinct ids end within this many doublings; what still points somewhere then is a cycle
     for _ in range(max(1, links.count().bit_length()) + 1):
-        ahead = links.where("depth > 0").select(F.col("id").alias("up"), F.col("up").alias("_u"), F.col("top").alias("_t"), F.col("depth").alias("_d"))
-        links = cut_lineage(links.join(ahead, "up", "left").select("id", F.col("_u").alias("up"), F.coalesce("_t", "top").alias("top"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")))
+        ahead = links.select(F.col("id").alias("up"), F.col("up").alias("_u"), F.col("top").alias("_t"), F.col("depth").alias("_d"))
+        on = links.where("up IS NOT NULL").join(ahead, "up", "left").select("id", F.col("_u").alias("up"), F.coalesce("_t", "top").alias("top"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"))
+        links = cut_lineage(links.where("up IS NULL").unionByName(on))
         if links.where("up IS NOT NULL").isEmpty():
             break
     ended = F.col("up").isNull()
-    return links.select("id", F.when(ended, F.col("top")).alias("root_id"), F.when(ended, F.col("depth")).alias("depth"))
+    return roots.unionByName(links).select("id", F.when(ended, F.col("top")).alias("root_id"), F.when(ended, F.col("depth")).alias("depth"))
 
 
 def bound_log(log: str | Column, entries: int = MAX_LOG_ENTRIES, chars: int = MAX_LOG_CHARS) -> Column:
