@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cueloom.functions.sequence import scan
-from cueloom.functions.units import fold_units
+from cueloom.functions.units import stream_groups, unit_starts, with_unit
 
 WATERMARK = "10 minutes"
 IDLE_MS = 3_600_000
@@ -93,16 +94,22 @@ def thin_progress(mapped: DataFrame, key: str = "job_id") -> DataFrame:
     d = d.withColumn("logged", F.col("_b").isNull() | (F.col("_b") > F.coalesce("_seen", F.lit(-1)))).withColumn("hard", ~tick)
     d = d.select(key, "event_id", "ts_us", "stage", "progress", "logged", "hard")
 
+    by = [key, "unit"]
+
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts_us", "event_id"])
+        first = unit_starts(rows, by)
+        order = np.lexsort((rows["event_id"], rows["ts_us"], first.cumsum()))
+        rows = rows.iloc[order]
+        # units keep their places, so a unit opens where one did before
         last, out = (None, -1.0), []
-        for stage, progress, hard in zip(rows["stage"], rows["progress"], rows["hard"]):
-            write = bool(hard) or stage != last[0] or abs(progress - last[1]) >= MIN_DELTA
+        for opens, stage, progress, hard in zip(first.tolist(), rows["stage"].tolist(), rows["progress"].tolist(), rows["hard"].tolist(), strict=True):
+            write = opens or hard or stage != last[0] or abs(progress - last[1]) >= MIN_DELTA
             last = (stage, progress) if write else last
             out.append(write)
         return rows[[key, "event_id", "logged"]].assign(written=out)
 
-    return fold_units(d, [key], "ts_us", F.col("hard"), fold, f"{key} bigint, event_id bigint, logged boolean, written boolean", block=EVENT_BLOCK_US)
+    placed = with_unit(d, [key], "ts_us", F.col("hard"), EVENT_BLOCK_US)
+    return stream_groups(placed, by, "ts_us", fold, f"{key} bigint, event_id bigint, logged boolean, written boolean")
 
 
 def latest_per_key(changes: DataFrame, key: str = "job_id", order: tuple[str, ...] = ("ts_us", "event_id")) -> DataFrame:
